@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marchland.operators import badrows, spatial
+from marchland.operators.badrows import whole
+from marchland.operators.fill import Features, Target, fill_missing
 from marchland.plans.load import table
 
 
@@ -39,6 +41,39 @@ def p2_region_counts(spark: SparkSession, d: str) -> DataFrame:
     return within.groupBy("a_id").agg(F.count("*").alias("n_points")).join(names, "a_id", "left").select(F.col("a_id").alias("objectid"), "name", "n_points")
 
 
+def _whole_or_null(c: str, alternatives: str):
+    text = F.col(c).cast("string")
+    return F.when(text.rlike(f"\\A{whole(alternatives)}\\z"), F.regexp_replace(F.trim(text), "\\.0+$", "").try_cast("int"))
+
+
+def fill_breast_cancer(spark: SparkSession, d: str) -> DataFrame:
+    grade, status = _whole_or_null("c6", "10|[1-9]"), F.when(F.col("c10").isin(1, 2), F.col("c10"))
+    numeric = {f"c{i}": F.col(f"c{i}") for i in (1, 2, 3, 4, 5, 7, 8, 9)} | {"c6": grade, "day": F.col("seen_at").cast("long") / 86400}
+    levels6 = (("case", ("c0",), 1), ("cluster_clinic", ("_cluster", "clinic"), 20), ("cluster", ("_cluster",), 1), ("clinic", ("clinic",), 1), ("all", (), 1))
+    targets = [Target("c6", grade, levels6), Target("c10", status, (("case", ("c0",), 1), *levels6[1:]), categorical=True)]
+    return fill_missing(table(spark, d, "breast_cancer"), "rec_id", Features(numeric, {"c10": status, "clinic": F.col("clinic")}), targets)
+
+
+def fill_dermatology(spark: SparkSession, d: str) -> DataFrame:
+    age = F.when((F.col("c33") > 0) & (F.col("c33") <= 100), F.col("c33"))
+    numeric = {f"c{i}": F.col(f"c{i}") for i in range(33)} | {"c33": age}
+    levels = (("cluster_class_batch", ("_cluster", "c34", "batch"), 20), ("cluster_class", ("_cluster", "c34"), 1), ("cluster", ("_cluster",), 1), ("batch", ("batch",), 1), ("all", (), 1))
+    return fill_missing(table(spark, d, "dermatology"), "rec_id", Features(numeric, {"c34": F.col("c34")}), [Target("c33", age, levels)])
+
+
+def _filled(df: DataFrame, src: str, name: str) -> DataFrame:
+    return df.where(F.col(f"{name}_method").isNotNull()).select(F.lit(src).alias("src"), "rec_id", F.lit(name).alias("field"), F.col(name).cast("double").alias("value"), F.col(f"{name}_method").alias("method"))
+
+
+def p5_filled(spark: SparkSession, d: str) -> DataFrame:
+    cancer = fill_breast_cancer(spark, d)
+    return _filled(cancer, "breast_cancer", "c6").unionByName(_filled(cancer, "breast_cancer", "c10")).unionByName(_filled(fill_dermatology(spark, d), "dermatology", "c33"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_filled(spark, d).select("src", "rec_id", "field")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_reasons": p1_reasons,
@@ -46,6 +81,8 @@ QUERIES = {
     "p1_dermatology_rows": p1_dermatology_rows,
     "p2_found": p2_found,
     "p2_region_counts": p2_region_counts,
+    "p5_found": p5_found,
+    "p5_filled": p5_filled,
 }
 
 
@@ -90,7 +127,14 @@ n AS (SELECT a.pt_id AS a_id, b.pt_id AS b_id FROM c a, range(-1, 2) dy(dy), ran
           + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 50)
 """
 
+_P5 = f"""
+SELECT DISTINCT 'breast_cancer' AS src, rec_id, 'c6' AS field FROM breast_cancer WHERE NOT coalesce(regexp_full_match(c6, '{whole("10|[1-9]")}'), false)
+UNION ALL SELECT DISTINCT 'breast_cancer', rec_id, 'c10' FROM breast_cancer WHERE coalesce(c10 NOT IN (1, 2), true)
+UNION ALL SELECT DISTINCT 'dermatology', rec_id, 'c33' FROM dermatology WHERE NOT coalesce(NOT isnan(c33) AND c33 > 0 AND c33 <= 100, false)
+"""
+
 ORACLE = {
+    "p5_found": _P5,
     "p1_found": f"{_LINES} SELECT line_id FROM raw_lines ANTI JOIN good USING (line_id)",
     "p1_breast_cancer_rows": _typed_sql("BreastCancer"),
     "p1_dermatology_rows": _typed_sql("Dermatology"),
