@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marchland.llm import similar
+from marchland.llm import groups, similar
 from marchland.plans.load import table
 
 SKIN = [f"c{i}" for i in range(33)]
@@ -43,7 +43,25 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return similar.similar_pairs(a).select(F.lit("ds6").alias("src"), "a_id", "b_id").unionByName(similar.similar_pairs(b).select(F.lit("dermatology").alias("src"), "a_id", "b_id"))
 
 
+def _clusters(spark: SparkSession, d: str, op) -> tuple[DataFrame, DataFrame]:
+    a = op(usable_ds6(spark, d), F.col("set_no"), F.col("point_id"), _ds6_vec(), 0, 0.255**2)
+    b = op(usable_skin(spark, d), F.col("batch"), F.col("rec_id"), _skin_vec(), 33, 4.5)
+    return a.withColumn("src", F.lit("ds6")), b.withColumn("src", F.lit("dermatology"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _clusters(spark, d, groups.similarity_clusters)
+    return a.unionByName(b).select("src", "first_id", "member_id")
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _clusters(spark, d, groups.describe_clusters)
+    return a.unionByName(b).select("src", "group", "first_id", "medoid_id", "size", "loose", "typical")
+
+
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_clusters": p4_clusters,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
 }
@@ -59,7 +77,16 @@ n AS (SELECT 'ds6' AS src, a.id AS id, b.id AS nb, {_DS6_D2} AS d2, row_number()
       UNION ALL SELECT 'dermatology', a.id, b.id, {_SKIN_D2} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {_SKIN_D2}, b.id) AS rn FROM v a JOIN v b ON a.g = b.g AND a.id <> b.id
       QUALIFY rn <= 5)
 """
+_P4 = f"""
+WITH RECURSIVE u AS {_DS6}, v AS {_SKIN},
+l AS (SELECT 'ds6' AS src, a.id AS a, b.id AS b FROM u a JOIN u b ON a.g = b.g AND a.id <> b.id AND {_DS6_D2} <= 0.065025
+      UNION ALL SELECT 'dermatology', a.id, b.id FROM v a JOIN v b ON a.g = b.g AND a.id <> b.id AND {_SKIN_D2} <= 4.5),
+reach AS (SELECT DISTINCT src, a AS id, a AS r FROM l UNION SELECT reach.src, l.b, reach.r FROM reach JOIN l ON l.src = reach.src AND l.a = reach.id WHERE reach.r < l.b),
+c AS (SELECT src, id, min(r) AS first_id FROM reach GROUP BY 1, 2)
+SELECT src, first_id, id AS member_id FROM c WHERE first_id <> id QUALIFY count(*) OVER (PARTITION BY src, first_id) >= 2
+"""
 ORACLE = {
+    "p4_found": _P4,
     "p3_found": f"WITH {_P3} SELECT DISTINCT src, least(id, nb) AS a_id, greatest(id, nb) AS b_id FROM n",
     "p3_neighbours": f"WITH {_P3} SELECT src, id, CAST(rn AS INTEGER) AS rank, nb AS neighbour, d2 FROM n",
 }
