@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marchland.llm import groups, similar
+from marchland.llm import groups, similar, varied
 from marchland.plans.load import table
 
 SKIN = [f"c{i}" for i in range(33)]
@@ -59,7 +59,22 @@ def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).select("src", "group", "first_id", "medoid_id", "size", "loose", "typical")
 
 
+SUBSET_SIZE = 50
+
+
+def p6_subset(spark: SparkSession, d: str) -> DataFrame:
+    a = varied.varied_subset(usable_ds6(spark, d), F.col("set_no"), F.col("point_id"), _ds6_vec(), 1.005**2, SUBSET_SIZE)
+    b = varied.varied_subset(usable_skin(spark, d), F.col("batch"), F.col("rec_id"), _skin_vec(), 60.0, SUBSET_SIZE)
+    return a.withColumn("src", F.lit("ds6")).unionByName(b.withColumn("src", F.lit("dermatology"))).select("src", "group", F.col("id").alias("rec_id"), "must", "stands_for")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_subset(spark, d).where("must").select("src", "rec_id")
+
+
 QUERIES = {
+    "p6_found": p6_found,
+    "p6_subset": p6_subset,
     "p4_found": p4_found,
     "p4_clusters": p4_clusters,
     "p3_found": p3_found,
@@ -85,7 +100,13 @@ reach AS (SELECT DISTINCT src, a AS id, a AS r FROM l UNION SELECT reach.src, l.
 c AS (SELECT src, id, min(r) AS first_id FROM reach GROUP BY 1, 2)
 SELECT src, first_id, id AS member_id FROM c WHERE first_id <> id QUALIFY count(*) OVER (PARTITION BY src, first_id) >= 2
 """
+_P6 = f"""
+WITH u AS {_DS6}, v AS {_SKIN}
+SELECT 'ds6' AS src, id AS rec_id FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.g = a.g AND b.id <> a.id AND {_DS6_D2} <= 1.010025)
+UNION ALL SELECT 'dermatology', id FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.g = a.g AND b.id <> a.id AND {_SKIN_D2} <= 60)
+"""
 ORACLE = {
+    "p6_found": _P6,
     "p4_found": _P4,
     "p3_found": f"WITH {_P3} SELECT DISTINCT src, least(id, nb) AS a_id, greatest(id, nb) AS b_id FROM n",
     "p3_neighbours": f"WITH {_P3} SELECT src, id, CAST(rn AS INTEGER) AS rank, nb AS neighbour, d2 FROM n",
