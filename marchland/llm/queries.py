@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marchland.llm import groups, similar, varied
+from marchland.llm import groups, similar, tokens, varied
 from marchland.plans.load import table
 
 SKIN = [f"c{i}" for i in range(33)]
@@ -72,7 +72,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_subset(spark, d).where("must").select("src", "rec_id")
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
 QUERIES = {
+    "p7_ids": p7_ids,
     "p6_found": p6_found,
     "p6_subset": p6_subset,
     "p4_found": p4_found,
