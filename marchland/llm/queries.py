@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marchland.llm import groups, similar, tokens, varied
+from marchland.llm import groups, mixture, similar, tokens, varied
 from marchland.plans.load import table
 
 SKIN = [f"c{i}" for i in range(33)]
@@ -76,7 +76,27 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def _mixture(spark: SparkSession, d: str) -> mixture.Mixture:
+    docs = tokens.token_counts(table(spark, d, "documents").select("doc_id", "source", "text"))
+    return mixture.mix(docs, table(spark, d, "mix_targets"), "doc_id", "source", "tokens", "text", {"length": F.log1p("tokens")})
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).report
+
+
+def p8_copies(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).copies
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_report(spark, d).where(~F.col("reachable")).select("source")
+
+
 QUERIES = {
+    "p8_found": p8_found,
+    "p8_report": p8_report,
+    "p8_copies": p8_copies,
     "p7_ids": p7_ids,
     "p6_found": p6_found,
     "p6_subset": p6_subset,
