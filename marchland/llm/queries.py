@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marchland.llm import groups, mixture, similar, tokens, varied
+from marchland.llm import groups, mixture, quality, similar, tokens, varied
 from marchland.plans.load import table
 
 SKIN = [f"c{i}" for i in range(33)]
@@ -93,7 +93,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_report(spark, d).where(~F.col("reachable")).select("source")
 
 
+def p9_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.score_texts(table(spark, d, "documents"), "doc_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_quality(spark, d).where("is_junk").select("doc_id")
+
+
 QUERIES = {
+    "p9_found": p9_found,
+    "p9_quality": p9_quality,
     "p8_found": p8_found,
     "p8_report": p8_report,
     "p8_copies": p8_copies,
