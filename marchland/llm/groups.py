@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marchland.llm.index import runs, vectors
 from marchland.operators.components import components, forest
+from marchland.operators.tree_knn import runs, vectors
 from marchland.session import Cut, tasks_for
 
 TASK_ROWS = 60_000

@@ -1,23 +1,15 @@
-"""Stable (Gaussian) projections of vectors, kd-tree leaves over them, and the chi-square stopping test.
+"""Stable (Gaussian) projections of vectors and the chi-square stopping test over them.
 
-A group with more vectors than one task should hold is cut into the leaves of a kd-tree in the projected space. The tree is
-fitted on a bounded sample (``SAMPLE_PER_LEAF`` vectors a leaf, at most ``MAX_LEAVES`` leaves over all groups); every vector
-is then indexed.
+The kd-tree leaves and their search are those of ``operators.tree_knn``, in the projected space.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 PROJECTED = 6
-MAX_LEAVES = 16_384
-SAMPLE_PER_LEAF = 16
 
 
 def projection(d: int, m: int = PROJECTED, seed: int = 7) -> np.ndarray:
@@ -53,104 +45,3 @@ def reach(d: int, m: int, confidence: float) -> float:
     Without a projection the bound is exact and the factor 1.
     """
     return 1.0 if d <= m else chi2_quantile(confidence, m)
-
-
-def vectors(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
-    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(array.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, d)
-
-
-class Tree:
-    """A kd-tree by median splits of a sample; leaves are boxes that fill the whole space."""
-
-    def __init__(self, sample: np.ndarray, leaves: int) -> None:
-        self.dim, self.cut, self.left, self.right, self.boxes = [], [], [], [], []
-        m = sample.shape[1]
-        self._grow(sample, leaves, np.full(m, -np.inf), np.full(m, np.inf))
-        self.lo, self.hi = np.array([b[0] for b in self.boxes]), np.array([b[1] for b in self.boxes])
-
-    def _grow(self, pts: np.ndarray, leaves: int, lo: np.ndarray, hi: np.ndarray) -> int:
-        """A node's number; a leaf's is -1 - its place."""
-        spread = np.ptp(pts, axis=0) if len(pts) else np.zeros(len(lo))
-        axis = int(spread.argmax())
-        if leaves <= 1 or len(pts) < 2 or spread[axis] <= 0:
-            self.boxes.append((lo, hi))
-            return -len(self.boxes)
-        values = np.sort(pts[:, axis])
-        cut = values[len(values) * (leaves // 2) // leaves]
-        if cut <= values[0]:
-            cut = values[values > values[0]][0]
-        node = len(self.dim)
-        self.dim.append(axis), self.cut.append(cut), self.left.append(0), self.right.append(0)
-        below = pts[:, axis] < cut
-        hi_l, lo_r = hi.copy(), lo.copy()
-        hi_l[axis], lo_r[axis] = cut, cut
-        self.left[node] = self._grow(pts[below], leaves // 2, lo, hi_l)
-        self.right[node] = self._grow(pts[~below], leaves - leaves // 2, lo_r, hi)
-        return node
-
-    def leaf(self, y: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(y), np.int64)
-        if not self.dim:
-            return out
-        dim, cut, left, right = map(np.array, (self.dim, self.cut, self.left, self.right))
-        while (open_ := out >= 0).any():
-            at = np.flatnonzero(open_)
-            node = out[at]
-            out[at] = np.where(y[at, dim[node]] < cut[node], left[node], right[node])
-            if (out < 0).all():
-                break
-        return -1 - out
-
-    def near(self, y: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) for each leaf box within the squared limit of the row."""
-        rows, leaves = [], []
-        for s in range(0, len(y), 4096):
-            part = y[s : s + 4096]
-            d2 = np.zeros((len(part), len(self.lo)))
-            for k in range(y.shape[1]):
-                d2 += np.maximum(0, np.maximum(self.lo[:, k] - part[:, k : k + 1], part[:, k : k + 1] - self.hi[:, k])) ** 2
-            r, leaf = np.nonzero(d2 <= limit[s : s + 4096, None] * (1 + 1e-9) + 1e-9)
-            rows.append(r + s), leaves.append(leaf)
-        return np.concatenate(rows) if rows else np.zeros(0, int), np.concatenate(leaves) if leaves else np.zeros(0, int)
-
-
-def group_trees(rows: DataFrame, d: int, leaf_rows: int, group: str = "_g", vec: str = "_v", uid: str = "_u") -> dict[int, Tree]:
-    """A tree for each group of more than ``leaf_rows`` vectors; a group without one is a single leaf."""
-    sizes = rows.groupBy(group).count()
-    total = sizes.agg(F.sum("count")).first()[0] or 0
-    leaf_rows = max(leaf_rows, -(-total // MAX_LEAVES))
-    # at most total / leaf_rows <= MAX_LEAVES groups are that large
-    big = {r[group]: r["count"] for r in sizes.where(F.col("count") > leaf_rows).collect()}
-    if not big:
-        return {}
-    rate = F.lit(1.5 * SAMPLE_PER_LEAF / leaf_rows)
-    chosen = rows.where(F.col(group).isin(list(big))) if len(big) <= 1000 else rows.join(F.broadcast(sizes.where(F.col("count") > leaf_rows).select(group)), group)
-    hashed = (F.xxhash64(F.lit(11), F.col(uid)).cast("double") / F.lit(2.0**64)) + 0.5
-    sample = chosen.where(hashed < rate).select(group, vec).toPandas()
-    g = projection(d)
-    out = {}
-    for key, part in sample.groupby(group):
-        out[int(key)] = Tree(np.stack(part[vec].to_numpy()).astype(float) @ g, -(-big[key] // leaf_rows))
-    return out
-
-
-def leaves_of(keys: np.ndarray, y: np.ndarray, trees: dict[int, Tree]) -> np.ndarray:
-    out = np.zeros(len(keys), np.int64)
-    for key in np.unique(keys):
-        if (tree := trees.get(int(key))) is not None:
-            at = np.flatnonzero(keys == key)
-            out[at] = tree.leaf(y[at])
-    return out
-
-
-def runs(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Starts and ends of runs of equal keys in sorted arrays."""
-    n = len(keys[0])
-    if n:
-        change = np.zeros(n, bool)
-        change[0] = True
-        for k in keys:
-            change[1:] |= k[1:] != k[:-1]
-        at = np.append(np.flatnonzero(change), n)
-        yield from zip(at[:-1].tolist(), at[1:].tolist())

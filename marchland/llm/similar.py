@@ -1,6 +1,6 @@
 """The k most similar vectors of every vector within its group.
 
-Vectors are projected to a few dimensions by a 2-stable projection and kept in a kd-tree (``llm.index``): the tree's upper
+Vectors are projected to a few dimensions by a 2-stable projection and kept in a kd-tree (``operators.tree_knn``): the tree's upper
 levels share the work out over tasks, its lower levels order each task's vectors. Neighbours in the projection are verified
 in growing steps until the chi-square stopping test says that no unseen vector can, with the given confidence, be nearer
 than the k found. Equal vectors are worked on once.
@@ -8,243 +8,14 @@ than the k found. Equal vectors are worked on once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marchland.llm.index import PROJECTED, group_trees, leaves_of, projection, reach, runs, vectors
-from marchland.session import Cut, tasks_for
-
-LEAF_ROWS = 16_384
-TASK_ROWS = 24_000
-BATCH = 8_192
-ENTRY = "array<struct<d:double,i:bigint>>"
-
-
-def distinct_vectors(df: DataFrame, group: Column, uid: Column, vec: Column, heads: int) -> DataFrame:
-    """(_g, _v, _heads, _u): each distinct vector of a group with its lowest ids, at most ``heads``, and the lowest of all."""
-    slim = df.select(group.cast("long").alias("_g"), uid.cast("long").alias("_i"), vec.alias("_v")).where(F.col("_g").isNotNull() & F.col("_i").isNotNull())
-    rank = F.dense_rank().over(Window.partitionBy("_g", "_v").orderBy("_i"))
-    low = slim.withColumn("_r", rank).where(F.col("_r") <= heads)
-    return low.groupBy("_g", "_v").agg(F.array_sort(F.collect_set("_i")).alias("_heads")).withColumn("_u", F.element_at("_heads", 1))
-
-
-def _pick(rows: np.ndarray, d2: np.ndarray, at: np.ndarray, rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k entries of each row that are lowest by (distance, rank), ordered."""
-    order = np.lexsort((rank[at], d2, rows))
-    rows, d2, at = rows[order], d2[order], at[order]
-    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-    return rows[keep], d2[keep], at[keep]
-
-
-def _exact(q: np.ndarray, x: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = np.empty(len(rows))
-    for s in range(0, len(rows), 1 << 16):
-        out[s : s + (1 << 16)] = ((q[rows[s : s + (1 << 16)]] - x[at[s : s + (1 << 16)]]) ** 2).sum(axis=1)
-    return np.round(out, 6)
-
-
-def kd_order(y: np.ndarray, size: int) -> list[np.ndarray]:
-    """Positions of the rows by leaf of a median-split tree."""
-    out, stack = [], [np.arange(len(y))]
-    while stack:
-        at = stack.pop()
-        if len(at) <= size:
-            out.append(at)
-            continue
-        part = y[at]
-        axis = int(np.ptp(part, axis=0).argmax())
-        half = len(at) // 2
-        order = np.argpartition(part[:, axis], half)
-        stack += [at[order[half:]], at[order[:half]]]
-    return out
-
-
-class Leaves:
-    """A task's vectors in kd order, searched in growing steps from the nearest leaf outwards."""
-
-    def __init__(self, x: np.ndarray, uid: np.ndarray, g: np.ndarray, factor: float, size: int | None = None) -> None:
-        size = size or (64 if x.shape[1] <= 3 else 512)
-        self.x, self.uid, self.factor, self.g = x, uid, factor, g
-        self.leaves = kd_order(x @ g, size) if len(x) else []
-        self.rank = np.empty(len(uid), np.int64)
-        self.rank[np.argsort(uid, kind="stable")] = np.arange(len(uid))
-        self.sq = (x**2).sum(axis=1)
-        y = x @ g
-        self.lo, self.hi = np.array([y[a].min(axis=0) for a in self.leaves]), np.array([y[a].max(axis=0) for a in self.leaves])
-
-    def _verify(self, q: np.ndarray, cand: np.ndarray, k: int, skip: np.ndarray, worst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Entries among the candidates that may belong to the k nearest of the query rows."""
-        x = self.x[cand]
-        if x.shape[1] <= 3:
-            d2 = sum((q[:, j : j + 1] - x[:, j]) ** 2 for j in range(x.shape[1]))
-        else:
-            d2 = np.maximum(0, (q**2).sum(axis=1)[:, None] + self.sq[cand] - 2 * (q @ x.T))
-        d2[skip[:, None] == self.uid[cand]] = np.inf
-        limit = worst
-        if len(cand) > k:
-            limit = np.minimum(worst, np.partition(d2, k - 1, axis=1)[:, k - 1])
-        rows, col = np.nonzero(d2 <= (limit + 1e-5 + 1e-9 * np.abs(limit))[:, None]) if np.isfinite(limit).all() else np.nonzero((d2 <= (limit + 1e-5)[:, None]) & np.isfinite(d2))
-        at = cand[col]
-        return rows, _exact(q, self.x, rows, at), at
-
-    def search(self, q: np.ndarray, skip: np.ndarray, k: int, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query row, squared distance, position) of each query's k nearest; ``skip`` is the query's own uid, ``within`` an
-        upper bound on the squared distance worth reporting."""
-        none = (np.zeros(0, int), np.zeros(0), np.zeros(0, int))
-        if not len(q) or not self.leaves:
-            return none
-        y = q @ self.g
-        out = []
-        for at in kd_order(y, 64 if q.shape[1] <= 3 else 512):
-            rows = self._search(q[at], y[at], skip[at], k, np.full(len(at), np.inf) if within is None else within[at])
-            out.append((at[rows[0]], rows[1], rows[2]))
-        return tuple(np.concatenate(c) for c in zip(*out))
-
-    def _search(self, q: np.ndarray, y: np.ndarray, skip: np.ndarray, k: int, worst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        gap = np.maximum(0, np.maximum(self.lo - y.max(axis=0), y.min(axis=0) - self.hi))
-        gap = (gap**2).sum(axis=1)
-        order = np.argsort(gap, kind="stable")
-        best = (np.zeros(0, int), np.zeros(0), np.zeros(0, int))
-        at, step, worst = 0, 2, worst.astype(float)
-        while at < len(order):
-            # the stopping test: no unseen leaf is, in the projection, within reach of any row's k-th distance
-            take = order[at : at + step]
-            take = take[gap[take] <= self.factor * worst.max() * (1 + 1e-9) + 1e-9]
-            if not len(take):
-                break
-            d2 = np.zeros((len(y), len(take)))
-            for j in range(y.shape[1]):
-                d2 += np.maximum(0, np.maximum(self.lo[take, j] - y[:, j : j + 1], y[:, j : j + 1] - self.hi[take, j])) ** 2
-            live = d2 <= self.factor * worst[:, None] * (1 + 1e-9) + 1e-9
-            take, rows_live = take[live.any(axis=0)], np.flatnonzero(live.any(axis=1))
-            at, step = at + step, min(step * 2, 16)
-            if len(take):
-                cand = np.concatenate([self.leaves[t] for t in take])
-                rows, dist, pos = self._verify(q[rows_live], cand, k, skip[rows_live], worst[rows_live])
-                best = _pick(np.concatenate([best[0], rows_live[rows]]), np.concatenate([best[1], dist]), np.concatenate([best[2], pos]), self.rank, k)
-                full = np.bincount(best[0], minlength=len(q)) >= k
-                last = np.full(len(q), -np.inf)
-                np.maximum.at(last, best[0], best[1])
-                worst = np.where(full, np.minimum(worst, last), worst)
-        return best
-
-
-def _entries(n: int, rows: np.ndarray, d2: np.ndarray, ids: np.ndarray) -> pa.Array:
-    """One list of (distance, id) for each of n rows; the input is ordered by row."""
-    at = np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)
-    flat = pa.StructArray.from_arrays([pa.array(d2), pa.array(ids.astype(np.int64))], ["d", "i"])
-    return pa.ListArray.from_arrays(pa.array(at), flat)
-
-
-def _with_heads(n: int, found: tuple[np.ndarray, np.ndarray, np.ndarray], heads: list[np.ndarray], own: list[np.ndarray] | None, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbouring vectors to neighbouring ids: each vector stands for its lowest ids, the query's own ones at distance 0."""
-    rows, d2, at = found
-    sizes = np.array([len(h) for h in heads]) if heads else np.zeros(0, int)
-    reps = sizes[at] if len(at) else np.zeros(0, int)
-    starts = np.cumsum(sizes) - sizes
-    flat = np.concatenate(heads) if heads else np.zeros(0, np.int64)
-    pick = np.repeat(starts[at], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) if len(at) else np.zeros(0, int)
-    r, d, i = np.repeat(rows, reps), np.repeat(d2, reps), flat[pick]
-    if own is not None:
-        o = np.array([len(h) for h in own])
-        r, d, i = np.concatenate([np.repeat(np.arange(n), o), r]), np.concatenate([np.zeros(o.sum()), d]), np.concatenate([np.concatenate(own) if own else i[:0], i])
-    order = np.lexsort((i, d, r))
-    r, d, i = r[order], d[order], i[order]
-    keep = np.arange(len(r)) - np.searchsorted(r, r) < most
-    return r[keep], d[keep], i[keep]
-
-
-def nearest_lists(distinct: DataFrame, d: int, k: int, confidence: float = 0.95, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """(_g, _u, _near): for each distinct vector its k + 1 nearest ids, its own included, as (distance, id) in order."""
-    spark = distinct.sparkSession
-    cut = Cut(spark)
-    g, factor, most = projection(d), reach(d, PROJECTED, confidence), k + 1
-    trees = group_trees(distinct, d, leaf_rows)
-    rows = distinct.count()
-    shared = spark.sparkContext.broadcast(trees)  # at most index.MAX_LEAVES boxes
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            leaf = leaves_of(b.column("_g").to_numpy(), vectors(b.column("_v"), d) @ g, shared.value) if shared.value else np.zeros(b.num_rows, np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf)], [*b.schema.names, "_leaf"])
-
-    base = "_g long, _u long, _v array<double>, _heads array<bigint>"
-    slim = distinct.select("_g", "_u", "_v", "_heads")
-    placed = slim.mapInArrow(place, base + ", _leaf long").repartition(tasks_for(spark, rows, TASK_ROWS), "_g", "_leaf")
-    schema = f"_g long, _u long, _v array<double>, _near {ENTRY}, _ask array<bigint>, _limit double"
-
-    def own_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not sum(p.num_rows for p in parts):
-            return
-        t = pa.Table.from_batches(parts).sort_by([("_g", "ascending"), ("_leaf", "ascending"), ("_u", "ascending")])
-        keys, leaf, uid, x = t["_g"].to_numpy(), t["_leaf"].to_numpy(), t["_u"].to_numpy(), vectors(t["_v"], d)
-        heads = [np.array(h, np.int64) for h in t["_heads"].to_pylist()]
-        for s, e in runs(keys, leaf):
-            part = Leaves(x[s:e], uid[s:e], g, factor)
-            found = part.search(x[s:e], uid[s:e], k)
-            order = np.lexsort((found[1], found[0]))
-            found = tuple(f[order] for f in found)
-            r, dist, ids = _with_heads(e - s, found, heads[s:e], heads[s:e], most)
-            count = np.bincount(r, minlength=e - s)
-            limit = np.full(e - s, np.inf)
-            last = np.cumsum(count) - 1
-            full = count >= most
-            limit[full] = dist[last[full]]
-            tree = shared.value.get(int(keys[s]))
-            ask_r, ask_l = (np.zeros(0, int), np.zeros(0, int)) if tree is None else tree.near(x[s:e] @ g, factor * limit)
-            other = ask_l != leaf[s]
-            ask_r, ask_l = ask_r[other], ask_l[other]
-            asks = pa.ListArray.from_arrays(pa.array(np.searchsorted(ask_r, np.arange(e - s + 1)).astype(np.int32)), pa.array(ask_l.astype(np.int64)))
-            whole = pa.RecordBatch.from_arrays([pa.array(keys[s:e]), pa.array(uid[s:e]), t["_v"].slice(s, e - s).combine_chunks(), _entries(e - s, r, dist, ids), asks, pa.array(limit)], ["_g", "_u", "_v", "_near", "_ask", "_limit"])
-            for o in range(0, e - s, BATCH):
-                yield whole.slice(o, BATCH)
-
-    first = cut(placed.mapInArrow(own_leaf, schema), "near")
-    if not trees:
-        return first.select("_g", "_u", "_near")
-    # rows that may have nearer ones in other leaves ask those; only groups cut into leaves have any
-    asked = first.where(F.size("_ask") > 0).select("_g", "_u", "_v", F.explode("_ask").alias("_leaf"), "_limit")
-    data = slim.where(F.col("_g").isin(list(trees)) if len(trees) <= 1000 else F.lit(True)).mapInArrow(place, base + ", _leaf long")
-    both = asked.withColumn("_heads", F.lit(None).cast("array<bigint>")).unionByName(data.withColumn("_limit", F.lit(None).cast("double")))
-    n_asked = asked.count()
-    both = both.repartition(tasks_for(spark, rows + n_asked, 2 * TASK_ROWS), "_g", "_leaf")
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not sum(p.num_rows for p in parts):
-            return
-        t = pa.Table.from_batches(parts).sort_by([("_g", "ascending"), ("_leaf", "ascending"), ("_u", "ascending")])
-        keys, leaf, uid, x = t["_g"].to_numpy(), t["_leaf"].to_numpy(), t["_u"].to_numpy(), vectors(t["_v"], d)
-        limit = t["_limit"].to_numpy()
-        is_data = np.array(t["_heads"].is_valid().to_numpy())
-        heads = t["_heads"]
-        for s, e in runs(keys, leaf):
-            data_at, ask_at = s + np.flatnonzero(is_data[s:e]), s + np.flatnonzero(~is_data[s:e])
-            if not len(data_at) or not len(ask_at):
-                continue
-            part = Leaves(x[data_at], uid[data_at], g, factor)
-            own = [np.array(h, np.int64) for h in heads.take(pa.array(data_at)).to_pylist()]
-            for o in range(0, len(ask_at), 1 << 15):
-                at = ask_at[o : o + (1 << 15)]
-                found = part.search(x[at], uid[at], k, limit[at])
-                order = np.lexsort((found[1], found[0]))
-                r, dist, ids = _with_heads(len(at), tuple(f[order] for f in found), own, None, most)
-                hit = np.unique(r)
-                near = _entries(len(at), r, dist, ids).take(pa.array(hit))
-                out = pa.RecordBatch.from_arrays([pa.array(keys[at[hit]]), pa.array(uid[at[hit]]), near], ["_g", "_u", "_near"])
-                for q in range(0, len(hit), BATCH):
-                    yield out.slice(q, BATCH)
-
-    more = both.select("_g", "_u", "_v", "_heads", "_leaf", "_limit").mapInArrow(answer, f"_g long, _u long, _near {ENTRY}")
-    lists = first.select("_g", "_u", "_near").unionByName(more)
-    merged = lists.groupBy("_g", "_u").agg(F.flatten(F.collect_list("_near")).alias("_near"))
-    return merged.withColumn("_near", F.slice(F.array_sort("_near"), 1, most))
+from marchland.llm.index import PROJECTED, projection, reach
+from marchland.operators.tree_knn import LEAF_ROWS, distinct_vectors, nearest_lists
+from marchland.session import Cut
 
 
 def most_similar(
@@ -270,7 +41,7 @@ def most_similar(
     clean = df.where(usable)
     slim = clean.select(group.cast("long").alias("_g"), uid.cast("long").alias("_i"), array.alias("_v"))
     distinct = cut(distinct_vectors(slim, F.col("_g"), F.col("_i"), F.col("_v"), k + 2), "distinct")
-    lists = nearest_lists(distinct, len(vec), k, confidence, leaf_rows)
+    lists = nearest_lists(distinct, projection(len(vec)), reach(len(vec), PROJECTED, confidence), k, leaf_rows, digits=6)
     several = distinct.where(F.size("_heads") > 1).select("_g", "_u", F.slice("_heads", 1, k + 1).alias("_heads"))
     # a vector that stands for one record needs no join
     heads = lists.join(several, ["_g", "_u"], "left").select("_g", F.explode(F.coalesce("_heads", F.array("_u"))).alias("_i"), "_near")

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marchland.llm.index import PROJECTED, group_trees, leaves_of, projection, runs, vectors
+from marchland.llm.index import PROJECTED, projection
+from marchland.operators.tree_knn import group_trees, leaves_of, runs, vectors
 from marchland.session import Cut, tasks_for
 
 LEAF_ROWS = 2048
@@ -109,7 +110,7 @@ def varied_subset(df: DataFrame, group: Column, uid: Column, vec: list[Column],
     usable = reduce(lambda a, b: a & b, [c.isNotNull() & ~F.isnan(c.cast("double")) for c in vec], group.isNotNull() & uid.isNotNull())
     slim = df.where(usable).select(group.cast("long").alias("_g"), uid.cast("long").alias("id"), F.array(*[c.cast("double") + F.lit(0.0) for c in vec]).alias("_v"))
     nodes = cut(slim.dropDuplicates(["id"]).groupBy("_g", "_v").agg(F.min("id").alias("_u"), F.count(F.lit(1)).alias("n")), "nodes")
-    trees = group_trees(nodes, d, leaf_rows)
+    trees = group_trees(nodes, projection(d), leaf_rows)
     shared, gauss = spark.sparkContext.broadcast(trees), projection(d)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
