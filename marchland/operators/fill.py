@@ -162,7 +162,11 @@ def fill_missing(df: DataFrame, key: str, features: Features, targets: list[Targ
             agg = F.mode(value, deterministic=True) if t.categorical else F.percentile_approx(value, 0.5, 10_000)
             src = rows.where(F.col(value).isNotNull() & reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols], F.lit(True)))
             level = src.groupBy(*cols).agg(agg.alias(f"v{n}"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).drop("_n")
-            open_ = open_.join(level, cols, "left") if cols else open_.crossJoin(F.broadcast(level.select(f"v{n}")))  # one row: the value over all records
+            if cols:
+                open_ = open_.join(level, cols, "left")
+            else:  # the value over all records is one number
+                row = level.first()
+                open_ = open_.withColumn(f"v{n}", F.lit(row[f"v{n}"] if row else None).cast(slim.schema[value].dataType))
             methods.append(F.when(F.col(f"v{n}").isNotNull(), F.lit(name)))
             values.append(F.col(f"v{n}"))
         filled = open_.withColumns({value: F.coalesce(*values), f"m_{t.name}": F.coalesce(*methods, F.lit("none"))}).drop(*[f"v{n}" for n in range(len(t.levels))])
