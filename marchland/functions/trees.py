@@ -136,6 +136,9 @@ class Region:
             nxt = np.roll(r, -1, axis=0)
             x1.append(r[:, 0]), y1.append(r[:, 1]), x2.append(nxt[:, 0]), y2.append(nxt[:, 1]), ring.append(np.full(len(r), k))
         self.x1, self.y1, self.x2, self.y2, self.ring = map(np.concatenate, (x1, y1, x2, y2, ring))
+        # boxes of all edges, level ones included: those are crossed by no ray but bound the region all the same
+        self.lo = np.stack([np.minimum(self.x1, self.x2), np.minimum(self.y1, self.y2)])
+        self.hi = np.stack([np.maximum(self.x1, self.x2), np.maximum(self.y1, self.y2)])
         level = self.y1 != self.y2
         self.x1, self.y1, self.x2, self.y2, self.ring = (v[level] for v in (self.x1, self.y1, self.x2, self.y2, self.ring))
         self.rings = len(rings)
@@ -177,8 +180,7 @@ class Region:
     def crosses(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Whether an edge's box touches each of the boxes (2 × n: x, y)."""
         out = np.zeros(lo.shape[1], bool)
-        ex0, ex1 = np.minimum(self.x1, self.x2), np.maximum(self.x1, self.x2)
-        ey0, ey1 = np.minimum(self.y1, self.y2), np.maximum(self.y1, self.y2)
+        (ex0, ey0), (ex1, ey1) = self.lo, self.hi
         for s in range(0, lo.shape[1], 2048):
             a, b = lo[:, s : s + 2048], hi[:, s : s + 2048]
             hit = (ex0 <= b[0][:, None]) & (ex1 >= a[0][:, None]) & (ey0 <= b[1][:, None]) & (ey1 >= a[1][:, None])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SHARED = None
+_WRITTEN: list[str] = []
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -37,11 +40,19 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _LOCAL_SHARED is None or not os.path.isdir(_LOCAL_SHARED):
         _LOCAL_SHARED = tempfile.mkdtemp(prefix="marchland-")
+        atexit.register(shutil.rmtree, _LOCAL_SHARED, ignore_errors=True)
     return "file://" + _LOCAL_SHARED
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def forget(spark: SparkSession) -> None:
+    """Removes all tables this process has written into the shared folder; call it once no result is read any more."""
+    while _WRITTEN:
+        remove(spark, _WRITTEN.pop())
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -130,12 +130,12 @@ def read_matrix_market(spark: SparkSession, matrix: str, genes: str, cells: str)
         return lines.select((F.col("at") + 1).cast("long").alias(f"{key}_no"), F.split_part("line", F.lit("\t"), F.lit(-1 if key == "cell" else 1)).alias(key))
 
     parts = F.split(F.trim("value"), "\\s+")
-    body = spark.read.text(matrix).where(~F.col("value").startswith("%")).select([F.get(parts, F.lit(i)).try_cast("double").alias(c) for i, c in enumerate(("gene_no", "cell_no", "value"))])
-    # the first line after the comments holds the sizes; it is the one whose numbers are those of the name files
+    lines = spark.read.text(matrix).select("value", F.input_file_block_start().alias("_b"), F.monotonically_increasing_id().alias("_i")).where(~F.col("value").startswith("%"))
+    # the first line after the comments holds the sizes
+    first = lines.agg(F.min(F.struct("_b", "_i")).alias("m")).first()["m"]
+    body = lines.where((F.col("_b") != first["_b"]) | (F.col("_i") != first["_i"])) if first else lines
+    body = body.select([F.get(parts, F.lit(i)).try_cast("double").alias(c) for i, c in enumerate(("gene_no", "cell_no", "value"))])
     g, c = names(genes, "gene"), names(cells, "cell")
-    sizes = g.agg(F.max("gene_no").alias("n_genes")).join(c.agg(F.max("cell_no").alias("n_cells")), F.lit(True)).first()
-    entries = body.count() - 1
-    body = body.where(~((F.col("gene_no") == sizes["n_genes"]) & (F.col("cell_no") == sizes["n_cells"]) & (F.col("value") == entries)))
     return body.join(g, "gene_no").join(c, "cell_no").select("cell", "gene", "value")
 
 
