@@ -180,3 +180,66 @@ def flags(dcm: DataFrame, ratio: float, rule: str = "ceil") -> DataFrame:
         return dcm.withColumn("is_internal", F.lit(False))
     value = rank_value(dcm, "dcm", threshold_rank(n, ratio, rule))
     return dcm.withColumn("is_internal", F.col("dcm") < F.lit(value))
+
+
+def local_dimensions(width: int, k: int) -> int:
+    """Components kept of a neighbourhood: ⌊log2 k⌋, at least 2, at most all."""
+    return max(2, min(width, int(math.log2(k)))) if k > 1 else min(2, width)
+
+
+def facet_angles(units: np.ndarray) -> np.ndarray:
+    """What each hull facet of unit vectors takes of the sphere: arcs in the plane, solid angles in space, simplex volumes beyond."""
+    d = units.shape[1]
+    if d == 2:
+        turn = np.sort(np.arctan2(units[:, 1], units[:, 0]))
+        gaps = np.diff(np.append(turn, turn[0] + 2 * np.pi))
+        return np.minimum(gaps, 2 * np.pi - gaps)
+    corners = np.array([units[list(f)] for f in sphere_facets(units)])
+    if d == 3:
+        a, b, c = corners[:, 0], corners[:, 1], corners[:, 2]
+        triple = np.abs((a * np.cross(b, c)).sum(axis=1))
+        dots = (a * b).sum(axis=1) + (b * c).sum(axis=1) + (c * a).sum(axis=1)
+        half = np.arctan2(triple, 1 + dots)
+        return 2 * half
+    edges = corners[:, 1:] - corners[:, :1]
+    return np.sqrt(np.maximum(0, np.linalg.det(edges @ edges.transpose(0, 2, 1)))) / math.gamma(d)
+
+
+def local_dcm(cloud: np.ndarray, parts: int, fail_value: float = 1.0) -> float:
+    """Sample variance of the facets' angles over the squared whole angle, times their number.
+
+    ``cloud`` holds the point and then its neighbours; it is projected on its first ``parts`` principal components. What the
+    facets lack of the whole angle is spread evenly over them; each repeated direction counts as parts - 1 facets of none.
+    """
+    if cloud.shape[1] > parts:
+        centred = cloud - cloud.mean(axis=0)
+        _, _, axes = np.linalg.svd(centred, full_matrices=False)
+        cloud = centred @ axes[:parts].T
+    off = cloud[1:] - cloud[0]
+    length = np.linalg.norm(off, axis=1)
+    directions = np.round(off[length > 0] / length[length > 0, None], 12)
+    units = np.unique(directions, axis=0)
+    try:
+        if len(units) < 2:
+            return fail_value
+        angles = facet_angles(units)
+    except (ValueError, np.linalg.LinAlgError):
+        return fail_value
+    whole = 2 * math.pi ** (parts / 2) / math.gamma(parts / 2)
+    if parts > 2:
+        angles = angles + (whole - angles.sum()) / len(angles)
+    angles = np.append(angles, np.zeros((len(off) - len(units)) * (parts - 1)))
+    return float(angles.var(ddof=1) * len(angles) / whole**2) if len(angles) > 1 else fail_value
+
+
+def dcm_local(edges: DataFrame, points: DataFrame, vec: str, parts: int, uid: str = "id", fail_value: float = 1.0) -> DataFrame:
+    """(id, dcm) of points in an array column, each in the principal plane or space of its own neighbourhood."""
+    own = points.select(F.col(uid).alias("id"), F.col(vec).alias("a"))
+    other = points.select(F.col(uid).alias("nbr"), F.col(vec).alias("b"))
+    each = edges.select("id", "nbr", "rank").join(other, "nbr").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "b"))), lambda e: e["b"]).alias("near")).join(own, "id")
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, near: pd.Series) -> pd.Series:
+        return pd.Series([local_dcm(np.array([np.asarray(p, float), *[np.asarray(q, float) for q in rest]]), parts, fail_value) for p, rest in zip(a, near)])
+
+    return each.select("id", score("a", "near").alias("dcm"))

@@ -346,6 +346,12 @@ def dcm_hull_3d(spark, d):
     return centrality.dcm_hull(neighbors.knn(p, K, dims=["x", "y", "z"]), p, ["x", "y", "z"])
 
 
+@query()
+def dcm_local_pca(spark, d):
+    p = emb64(spark, d)
+    return centrality.dcm_local(neighbors.knn(p, K, dims="vec"), p, "vec", centrality.local_dimensions(64, K))
+
+
 @query()
 def cluster_3d(spark, d):
     return cluster.cluster(emb3d(spark, d), K, RATIO, dims=("x", "y", "z"))

@@ -221,3 +221,18 @@ def test_fuzzy_graph(spark):
     assert all(g[(b, a)] == pytest.approx(w) and 0 < w <= 1 for (a, b), w in g.items())
     a, b = graph.fit_curve(1.0, 0.1)
     assert a == pytest.approx(1.577, abs=0.02) and b == pytest.approx(0.895, abs=0.02)
+
+
+def test_local_scores():
+    assert centrality.local_dimensions(64, 10) == 3 and centrality.local_dimensions(64, 2) == 2
+    even = np.array([[0, 0], [1, 0], [0, 1], [-1, 0], [0, -1]], float)
+    assert centrality.local_dcm(even, 2) == pytest.approx(0)
+    cube = np.array([[x, y, z] for x in (-1, 1) for y in (-1, 1) for z in (-1, 1)], float)
+    rng = np.random.default_rng(0)
+    units = rng.normal(size=(30, 3))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    assert centrality.facet_angles(units).sum() == pytest.approx(4 * math.pi)
+    cloud = rng.normal(size=(12, 6))
+    turn = np.linalg.qr(rng.normal(size=(6, 6)))[0]
+    assert centrality.local_dcm(cloud, 3) == pytest.approx(centrality.local_dcm(cloud @ turn * 4 + 1, 3))
+    assert centrality.local_dcm(np.concatenate([[[0.0, 0, 0]], cube * 0]), 3) == 1.0
