@@ -37,19 +37,20 @@ def _edges(lists: DataFrame, k: int) -> DataFrame:
     return flat.select(F.col("_u").alias("id"), (F.col("pos") + 1).alias("rank"), F.col("e.i").alias("nbr"), F.col("e.d").alias("d2"))
 
 
-def knn(df: DataFrame, k: int, uid: str = "id", dims: list[str] | str = ("x", "y"), leaf_rows: int = tree_knn.LEAF_ROWS) -> DataFrame:
+def knn(df: DataFrame, k: int, uid: str = "id", dims: list[str] | str = ("x", "y"), leaf_rows: int = tree_knn.LEAF_ROWS, approximate: bool = False) -> DataFrame:
     """(id, rank, nbr, d2): the k nearest other points of each point, ordered by squared distance, then id. Exact.
 
     Points at one place are each other's neighbours at distance 0. Rows with a null id or component, or a NaN one, take no
     part; rows repeated under one id count once. With k or fewer points each has all others. Equal points are searched for
-    once, and of very many copies only the lowest ids can be neighbours, so hot places don't matter.
+    once, and of very many copies only the lowest ids can be neighbours, so hot places don't matter. ``approximate`` looks
+    into each point's own leaf of about ``leaf_rows`` points only (see ``recall``).
     """
     dims = dims if isinstance(dims, str) else list(dims)
     d = _width(df, dims)
     cut = Cut(df.sparkSession)
     slim = _clean(df, uid, dims)
     distinct = cut(tree_knn.distinct_vectors(slim, F.lit(0), F.col("_u"), F.col("_v"), k + 2), "distinct")
-    lists = tree_knn.nearest_lists(distinct, np.eye(d), 1.0, k, leaf_rows)
+    lists = tree_knn.nearest_lists(distinct, np.eye(d), 1.0, k, leaf_rows, others=not approximate)
     several = distinct.where(F.size("_heads") > 1).select("_u", F.slice("_heads", 1, k + 1).alias("_heads"))
     each = lists.select("_u", "_near").join(several, "_u", "left").select(F.explode(F.coalesce("_heads", F.array("_u"))).alias("_u"), "_near")
     each = each.withColumn("_near", F.filter("_near", lambda e: e["i"] != F.col("_u")))
@@ -87,6 +88,31 @@ _BLOCK = {
 }
 
 
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row ``recall``: the share of the exact neighbour pairs that were found."""
+    hit = exact.select("id", "nbr").join(found.select("id", "nbr").withColumn("_hit", F.lit(1)), ["id", "nbr"], "left")
+    return hit.agg((F.count("_hit") / F.count(F.lit(1))).alias("recall"))
+
+
+def tuned_leaf_rows(df: DataFrame, k: int, precision: float, uid: str = "id", dims: list[str] | str = ("x", "y"), share: float = 0.01, steps: tuple[int, ...] = (64, 256, 1024, 4096, 16_384)) -> int:
+    """The smallest leaf with which the approximate search finds ``precision`` of the true neighbours of a sample of points.
+
+    The sample is ``share`` of the points by hash of their id, at least those needed to have one; its true neighbours are
+    searched for once.
+    """
+    dims = dims if isinstance(dims, str) else list(dims)
+    hashed = F.xxhash64(F.lit(13), F.col(uid)).cast("double") / F.lit(2.0**64) + 0.5
+    probe = df.where(hashed < share)
+    if probe.limit(1).count() == 0:
+        probe = df
+    exact = Cut(df.sparkSession)(nearest_in(probe, df, k, uid, dims), "exact")
+    for rows in steps[:-1]:
+        got = knn(df, k, uid, dims, rows, approximate=True).join(exact.select("id").distinct(), "id", "left_semi")
+        if (recall(got, exact).first()["recall"] or 0.0) >= precision:
+            return rows
+    return steps[-1]
+
+
 def knn_metric(df: DataFrame, k: int, metric: str, uid: str = "id", dims: list[str] | str = ("x", "y"), p: float = 3.0, variances: list[float] | None = None, block_rows: int = 4096) -> DataFrame:
     """(id, rank, nbr, dist): the k nearest by a named metric, by (dist, id).
 

@@ -266,8 +266,9 @@ def _with_heads(n: int, found: tuple[np.ndarray, np.ndarray, np.ndarray], heads:
     return r[keep], d[keep], i[keep]
 
 
-def nearest_lists(distinct: DataFrame, image: np.ndarray, factor: float, k: int, leaf_rows: int = LEAF_ROWS, digits: int | None = None) -> DataFrame:
-    """(_g, _u, _near): for each distinct vector its k + 1 nearest ids, its own included, as (distance, id) in order."""
+def nearest_lists(distinct: DataFrame, image: np.ndarray, factor: float, k: int, leaf_rows: int = LEAF_ROWS, digits: int | None = None, others: bool = True) -> DataFrame:
+    """(_g, _u, _near): for each distinct vector its k + 1 nearest ids, its own included, as (distance, id) in order. With ``others`` off only a
+    vector's own leaf is searched, which is approximate."""
     spark = distinct.sparkSession
     cut = Cut(spark)
     d, g, most = image.shape[0], image, k + 1
@@ -313,7 +314,7 @@ def nearest_lists(distinct: DataFrame, image: np.ndarray, factor: float, k: int,
                 yield whole.slice(o, BATCH)
 
     first = cut(placed.mapInArrow(own_leaf, schema), "near")
-    if not trees:
+    if not trees or not others:
         return first.select("_g", "_u", "_near")
     # rows that may have nearer ones in other leaves ask those; only groups cut into leaves have any
     asked = first.where(F.size("_ask") > 0).select("_g", "_u", "_v", F.explode("_ask").alias("_leaf"), "_limit")

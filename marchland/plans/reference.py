@@ -157,6 +157,8 @@ def _metric(name: str, metric: str, sql: str, **options) -> None:
 _metric("knn_metric_cityblock", "cityblock", f"list_sum(list_transform({_ZIP}, lambda z: abs(z[1] - z[2])))")
 _metric("knn_metric_chebychev", "chebychev", f"list_max(list_transform({_ZIP}, lambda z: abs(z[1] - z[2])))")
 _metric("knn_metric_minkowski3", "minkowski", f"pow(list_sum(list_transform({_ZIP}, lambda z: pow(abs(z[1] - z[2]), 3))), 1.0 / 3)", p=3.0)
+_VARS = [0.5 + i / 64 for i in range(64)]
+_metric("knn_metric_seuclidean", "seuclidean", f"sqrt(list_sum(list_transform(list_zip(a.vec, b.vec, {_VARS}), lambda z: (z[1] - z[2]) * (z[1] - z[2]) / z[3])))", variances=_VARS)
 _metric("knn_metric_cosine", "cosine", "1 - list_cosine_similarity(a.vec, b.vec)")
 _metric("knn_metric_correlation", "correlation", "1 - list_cosine_similarity(list_transform(a.vec, lambda v: v - list_avg(a.vec)), list_transform(b.vec, lambda v: v - list_avg(b.vec)))")
 
@@ -178,6 +180,19 @@ def lsh_candidates(spark, d):
     return neighbors.lsh_candidates(bits64(spark, d), _MASKS, 1)
 
 
+@query()
+def knn_approximate_recall(spark, d):
+    """Share of the true neighbours that leaves of about 200 points find by themselves."""
+    p = cust2d(spark, d)
+    return neighbors.recall(neighbors.knn(p, K, leaf_rows=200, approximate=True), neighbors.knn(p, K))
+
+
+@query()
+def knn_tuned_leaf(spark, d):
+    rows = neighbors.tuned_leaf_rows(cust2d(spark, d), K, 0.9, share=0.1)
+    return spark.range(1).select(F.lit(rows).alias("leaf_rows"))
+
+
 _R = 0.05
 _RADIUS = f"WITH p AS {EMB2D}, r AS (SELECT a.id, b.id AS nbr, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM p a JOIN p b ON a.id <> b.id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.0025)"
 
@@ -188,6 +203,13 @@ def radius_join(spark, d):
     return neighbors.radius_pairs(p, p, _R).withColumn("d2", F.round("d2", 9))
 
 
+@query(f"WITH p AS {PART2D} SELECT a.id, b.id AS nbr FROM p a JOIN p b ON a.id <> b.id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 1")
+def radius_strict(spark, d):
+    """Nearer than 1: with whole coordinates, the same place."""
+    p = part2d(spark, d)
+    return neighbors.radius_pairs(p, p, 1.0, strict=True).select("id", "nbr")
+
+
 @query(f"{_RADIUS} SELECT id, count(nbr) AS n FROM p LEFT JOIN r USING (id) GROUP BY id")
 def radius_count(spark, d):
     return neighbors.radius_count(emb2d(spark, d), _R)
@@ -549,6 +571,18 @@ def point_in_polygon(spark, d):
     return near.where(geometry.in_ring(F.col("x"), F.col("y"), F.col("ring"))).select("id", "objectid")
 
 
+_EDGES = f"(SELECT objectid, r[i][1] AS x1, r[i][2] AS y1, r[i % len(r) + 1][1] AS x2, r[i % len(r) + 1][2] AS y2 FROM {_RINGS}, range(1, 5000) t(i) WHERE i <= len(r))"
+
+
+@query(f"""WITH e AS {_EDGES}, t AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM e), s AS (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0, least(1, ((105 - x1) * dx + (32 - y1) * dy) / (dx * dx + dy * dy))) ELSE 0 END AS t FROM t)
+  SELECT objectid FROM s GROUP BY objectid HAVING min(pow(x1 + t * dx - 105, 2) + pow(y1 + t * dy - 32, 2)) <= 4
+  OR count(*) FILTER (WHERE (y1 > 32) <> (y2 > 32) AND 105 < x1 + (32 - y1) * (x2 - x1) / (y2 - y1)) % 2 = 1""")
+def circle_polygon(spark, d):
+    """Regions that a circle of 2 degrees around (105, 32) touches."""
+    circle = [F.lit(v) for v in (105.0, 32.0, 2.0)]
+    return _rings(spark, d).where(geometry.circle_meets_ring(*circle, F.col("ring"))).select("objectid")
+
+
 @query(f"SELECT id, x, y FROM {EMB2D}")
 def wkt_roundtrip(spark, d):
     text = emb2d(spark, d).select("id", geometry.wkt_point(F.col("x"), F.col("y")).alias("wkt"))
