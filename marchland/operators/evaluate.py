@@ -22,10 +22,11 @@ def _pairs(n: Column) -> Column:
 
 def pair_counts(table: DataFrame) -> DataFrame:
     """One row ss, sd, ds, dd: pairs together in both, in the true one only, in the predicted one only, in neither."""
-    cells = table.agg(F.sum(_pairs(F.col("n"))).alias("ss"), F.sum("n").alias("total"))
-    rows = table.groupBy("true_label").agg(F.sum("n").alias("a")).agg(F.sum(_pairs(F.col("a"))).alias("by_true"))
-    cols = table.groupBy("pred_label").agg(F.sum("n").alias("b")).agg(F.sum(_pairs(F.col("b"))).alias("by_pred"))
-    one = cells.join(rows, F.lit(True)).join(cols, F.lit(True))  # three tables of one row
+    every = table.select(F.lit(0).alias("k"), F.col("n").alias("v"))
+    every = every.unionByName(table.groupBy("true_label").agg(F.sum("n").alias("v")).select(F.lit(1).alias("k"), "v"))
+    every = every.unionByName(table.groupBy("pred_label").agg(F.sum("n").alias("v")).select(F.lit(2).alias("k"), "v"))
+    of = lambda k, v: F.coalesce(F.sum(F.when(F.col("k") == k, v)), F.lit(0.0))
+    one = every.agg(of(0, _pairs(F.col("v"))).alias("ss"), of(1, _pairs(F.col("v"))).alias("by_true"), of(2, _pairs(F.col("v"))).alias("by_pred"), of(0, F.col("v").cast("double")).alias("total"))
     ss, sd, ds = F.col("ss"), F.col("by_true") - F.col("ss"), F.col("by_pred") - F.col("ss")
     return one.select("ss", sd.alias("sd"), ds.alias("ds"), (_pairs(F.col("total")) - ss - sd - ds).alias("dd"))
 
@@ -53,9 +54,9 @@ def pair_metrics(table: DataFrame, beta: float = 1.0) -> DataFrame:
 
 def purity(table: DataFrame) -> DataFrame:
     """One row: purity (best true label in each predicted group) and inverse_purity (the other way round)."""
-    a = table.groupBy("pred_label").agg(F.max("n").alias("m"), F.sum("n").alias("s")).agg((F.sum("m") / F.sum("s")).alias("purity"))
-    b = table.groupBy("true_label").agg(F.max("n").alias("m"), F.sum("n").alias("s")).agg((F.sum("m") / F.sum("s")).alias("inverse_purity"))
-    return a.join(b, F.lit(True))
+    best = lambda by, k: table.groupBy(by).agg(F.max("n").alias("m"), F.sum("n").alias("s")).select(F.lit(k).alias("k"), "m", "s")
+    share = lambda k: F.sum(F.when(F.col("k") == k, F.col("m"))) / F.sum(F.when(F.col("k") == k, F.col("s")))
+    return best("pred_label", 0).unionByName(best("true_label", 1)).agg(share(0).alias("purity"), share(1).alias("inverse_purity"))
 
 
 def nmi(table: DataFrame) -> DataFrame:
@@ -65,11 +66,11 @@ def nmi(table: DataFrame) -> DataFrame:
         return table.agg(F.lit(None).cast("double").alias("nmi"))
     n = F.lit(float(total))
     rows, cols = table.groupBy("true_label").agg(F.sum("n").alias("a")), table.groupBy("pred_label").agg(F.sum("n").alias("b"))
-    mutual = table.join(rows, "true_label").join(cols, "pred_label").agg(F.sum(F.col("n") / n * F.log(F.col("n") * n / (F.col("a") * F.col("b")))).alias("mi"))
-    h = lambda t, c: t.agg(F.sum(-F.col(c) / n * F.log(F.col(c) / n)).alias(f"h_{c}"))
-    one = mutual.join(h(rows, "a"), F.lit(True)).join(h(cols, "b"), F.lit(True))
-    low = F.col("h_a") + F.col("h_b")
-    return one.select(F.when(low > 0, 2 * F.col("mi") / low).otherwise(F.lit(1.0)).alias("nmi"))
+    p = lambda c: F.col(c) / n
+    mutual = table.join(rows, "true_label").join(cols, "pred_label").select(F.lit(0).alias("k"), (p("n") * F.log(F.col("n") * n / (F.col("a") * F.col("b")))).alias("v"))
+    parts = mutual.unionByName(rows.select(F.lit(1).alias("k"), (-p("a") * F.log(p("a"))).alias("v"))).unionByName(cols.select(F.lit(1).alias("k"), (-p("b") * F.log(p("b"))).alias("v")))
+    of = lambda k: F.sum(F.when(F.col("k") == k, F.col("v")))
+    return parts.agg(of(0).alias("mi"), of(1).alias("h")).select(F.when(F.col("h") > 0, 2 * F.col("mi") / F.col("h")).otherwise(F.lit(1.0)).alias("nmi"))
 
 
 def assignment(gain: np.ndarray) -> np.ndarray:

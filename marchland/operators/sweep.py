@@ -32,8 +32,9 @@ def sweep(df: DataFrame, ks: list[int], ratios: list[float], truth: str, uid: st
             labels = label(connect_flags(points, mine, centrality.flags(dcm, ratio, rule), list(dims)))
             full = back_fill(slim, labels, "cluster", "id", dims).join(slim.select("id", truth), "id")
             table = evaluate.contingency(full, truth, "cluster")
-            score = evaluate.pair_metrics(table).select("ari").join(labels.agg(F.max("cluster").alias("clusters")), F.lit(True))
-            rows.append(cut(score.select(F.lit(k).alias("k"), F.lit(float(ratio)).alias("ratio"), "clusters", "ari"), f"score{len(rows)}"))
+            clusters = labels.agg(F.max("cluster")).first()[0]
+            score = evaluate.pair_metrics(table).select(F.lit(k).alias("k"), F.lit(float(ratio)).alias("ratio"), F.lit(clusters).cast("int").alias("clusters"), "ari")
+            rows.append(cut(score, f"score{len(rows)}"))
     return reduce(DataFrame.unionByName, rows)
 
 

@@ -566,8 +566,11 @@ def segment_circle(spark, d):
   SELECT id, objectid FROM s JOIN e ON (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) GROUP BY id, objectid HAVING count(*) % 2 = 1""")
 def point_in_polygon(spark, d):
     p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (90 + F.col("s_suppkey") % 30).cast("double").alias("x"), (22 + F.col("s_suppkey") % 20).cast("double").alias("y"))
-    rings = _rings(spark, d).withColumn("e", geometry.envelope(F.col("ring")))
-    near = p.join(rings, geometry.in_envelope(F.col("x"), F.col("y"), F.col("e.xmin"), F.col("e.ymin"), F.col("e.xmax"), F.col("e.ymax")))
+    # regions lie in all whole-degree cells of their envelope, a point in one
+    e = geometry.envelope(F.col("ring"))
+    spread = lambda lo, hi: F.explode(F.sequence(F.floor(lo), F.floor(hi)))
+    rings = _rings(spark, d).withColumn("e", e).withColumn("cx", spread(F.col("e.xmin"), F.col("e.xmax"))).withColumn("cy", spread(F.col("e.ymin"), F.col("e.ymax")))
+    near = p.withColumns({"cx": F.floor("x"), "cy": F.floor("y")}).join(rings, ["cx", "cy"])
     return near.where(geometry.in_ring(F.col("x"), F.col("y"), F.col("ring"))).select("id", "objectid")
 
 
