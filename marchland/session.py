@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -90,3 +91,27 @@ def parallelism(spark: SparkSession) -> int:
 def tasks_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     """Partitions for Python stages: enough for all cores and small enough for one task's memory."""
     return max(parallelism(spark), -(-rows // rows_per_task))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the tasks, once a session, unless their Python finds it anyway."""
+    app = spark.sparkContext.applicationId
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if app in _SHIPPED or root in known or (spark.sparkContext.master.startswith("local[") and os.path.abspath(os.getcwd()) == root):
+        return
+    at = shared_dir(spark)
+    folder = at.removeprefix("file://") if at.startswith(("file://", "/")) else tempfile.mkdtemp(prefix="marchland-code-")
+    os.makedirs(folder, exist_ok=True)
+    target = os.path.join(folder, f"marchland-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for base, _, names in os.walk(os.path.join(root, "marchland")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(base, name)
+                    z.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
