@@ -115,3 +115,9 @@ def ship(spark: SparkSession) -> None:
                     z.write(path, os.path.relpath(path, root))
     spark.sparkContext.addPyFile(target)
     _SHIPPED.add(app)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores if the input has fewer splits than that, for expressions that cost far more than a shuffle of the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
