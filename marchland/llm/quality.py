@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marchland.llm.quality_holdout import HOLDOUT
-from marchland.session import Cut
+from marchland.session import Cut, spread
 
 MAX_TRAIN_ROWS = 20_000
 
@@ -222,7 +222,7 @@ def score_texts(df: DataFrame, key: str, text: str = "text", max_rows: int = MAX
     itself; other columns are left out, so none can clash.
     """
     cut = Cut(df.sparkSession)
-    stats = cut(text_statistics(df, text, (key,)), "stats")
+    stats = cut(text_statistics(spread(df.select(key, text)), text, (key,)), "stats")
     fitted = model or train(stats, key, max_rows)
     schema = stats.schema.simpleString()
 
