@@ -31,7 +31,19 @@ FUNCTION_WORDS = (
     "el la los las que un una por con para fue era su más pero como sin entre cuando muy todo porque aunque después está del ya "
     "le les des du et est une dans pour qui sur avec pas plus mais nous sont était ont cette car aux lorsque alors entre très sous quand chez après"
 ).split()
-_WORDS = "(?<!\\p{L})(?:" + "|".join(sorted(set(FUNCTION_WORDS), key=lambda w: (-len(w), w))) + ")(?!\\p{L})"
+
+
+def _branches(words: list[str]) -> str:
+    """An alternation that shares prefixes, so that a word is left after its first letters."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    ends = heads.pop("", None) is not None
+    inner = "|".join(h + _branches(rest) for h, rest in sorted(heads.items()))
+    return f"(?:{inner})?" if ends and inner else f"(?:{inner})" if len(heads) > 1 else inner
+
+
+_WORDS = "(?<!\\p{L})" + _branches(sorted(set(FUNCTION_WORDS))) + "(?!\\p{L})"
 #: Characters that Chinese sentences can hardly do without.
 _HAN = "[的了是在和有这们把被因但如很就]"
 FUNCTION = f"{_WORDS}|{_HAN}"
@@ -68,6 +80,7 @@ def text_statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     base = base.withColumns({
         "_flat": F.trim(F.regexp_replace(low, "\\s+", " ")), "_words": F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), "_letters": _count(t, "\\p{L}"),
     }).withColumn("_parts", F.filter(F.split("_flat", "[.!?…]+(?=[ \"”»)]|$)|[。！？]+"), lambda x: F.length(F.trim(x)) > 0))
+    base = base.withColumn("_counts", F.transform("_lines", lambda x: F.regexp_count(x, F.lit(FUNCTION)).cast("double")))
     words = F.size("_words").cast("double")
     some = F.greatest(words, F.lit(1.0))
     n_lines = F.size("_lines").cast("double")
@@ -81,7 +94,8 @@ def text_statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
         often = piece.isNotNull() & (F.length(piece) > 0) & (flat_n - left >= 3 * F.length(piece))
         return F.when(often, (flat_n - left) / flat_n).otherwise(F.lit(0.0))
 
-    prose = F.aggregate("_lines", F.lit(0.0), lambda s, x: s + F.least(F.length(x).cast("double"), SPAN * F.regexp_count(x, F.lit(FUNCTION)).cast("double")))
+    prose = F.aggregate(F.zip_with("_lines", "_counts", lambda x, c: F.least(F.length(x).cast("double"), SPAN * c)), F.lit(0.0), lambda s, v: s + v)
+    common = F.aggregate("_counts", F.lit(0.0), lambda s, v: s + v)
     ended = F.size(F.filter("_lines", lambda x: x.rlike("[.!?…。！？:;][\"”’»)\\]]*\\s*$"))).cast("double")
     bullet = F.size(F.filter("_lines", lambda x: x.rlike("^\\s*(?:[-*•+·–]|\\(?[0-9]{1,3}[.)])\\s"))).cast("double")
     held = F.greatest(F.aggregate("_lines", F.lit(0.0), lambda s, x: s + F.length(x).cast("double")), F.lit(1.0))
@@ -98,7 +112,7 @@ def text_statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
         "mean_line_length": held / some_lines,
         "lines_ended_share": ended / some_lines,
         "bullet_share": bullet / some_lines,
-        "common_word_share": _count(low, FUNCTION) / some,
+        "common_word_share": common / some,
         "prose_share": prose / held,
         "broken_word_share": _count(t, BROKEN) / some,
         "phrase_share": covered(middle),
