@@ -120,6 +120,98 @@ def grid_links(nodes: DataFrame, eps: float) -> DataFrame:
     return banded.repartition(tasks_for(spark, n, TASK_ROWS), "_g", "i", "j").mapInArrow(link, "v long, u long, links long")
 
 
+def disc_counts(bucket: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, eps: float, limit: float) -> np.ndarray:
+    """For each point, the sum of n over the points of its bucket within the distance, itself included.
+
+    The points of a cell whose diagonal is the distance are all linked. Of two near cells the boxes decide where they can;
+    large undecided ranges are halved along the order within the cell, small ones compared point by point.
+    """
+    side = eps / math.sqrt(2) * (1 - 1e-9)
+    fx, fy = x / side, y / side
+    cx, cy = np.floor(fx).astype(np.int64), np.floor(fy).astype(np.int64)
+    ux, uy = ((fx - cx) * 256).astype(np.int64), ((fy - cy) * 256).astype(np.int64)
+    fine = sum(((ux >> k & 1) << (2 * k + 1)) | ((uy >> k & 1) << (2 * k)) for k in range(8))
+    cx, cy = cx - cx.min() + 2, cy - cy.min() + 2
+    height, width = int(cy.max()) + 3, int(cx.max()) + 3
+    key = (bucket * width + cx) * height + cy
+    order = np.lexsort((fine, key))
+    key, px, py, w = key[order], x[order], y[order], n[order]
+    cell, start, count = np.unique(key, return_index=True, return_counts=True)
+    ends = np.append(0, np.cumsum(w))
+    total = np.zeros(len(w) + 1, np.int64)  # differences, of what holds for whole ranges
+    deg = np.zeros(len(w), np.int64)
+
+    def whole(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> None:
+        v = ends[b1] - ends[b0]
+        np.add.at(total, a0, v)
+        np.add.at(total, a1, -v)
+
+    def boxes(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
+        both, back = np.unique(np.stack([s, e], axis=1), axis=0, return_inverse=True)
+        at = both.ravel()
+        return tuple(f.reduceat(np.append(c, c[-1:]), at)[::2][back.ravel()] for c in (px, py) for f in (np.minimum, np.maximum))
+
+    whole(start, start + count, start, start + count)
+    for dx, dy in ((i, j) for i in range(-2, 3) for j in range(-2, 3) if i or j):
+        at = np.searchsorted(cell, cell + dx * height + dy)
+        a = np.flatnonzero((at < len(cell)) & (cell[np.minimum(at, len(cell) - 1)] == cell + dx * height + dy))
+        a0, a1, b0, b1 = start[a], start[a] + count[a], start[at[a]], start[at[a]] + count[at[a]]
+        while len(a0):
+            ax0, ax1, ay0, ay1 = boxes(a0, a1)
+            bx0, bx1, by0, by1 = boxes(b0, b1)
+            far = np.maximum(ax1 - bx0, bx1 - ax0) ** 2 + np.maximum(ay1 - by0, by1 - ay0) ** 2
+            near = np.maximum(0, np.maximum(ax0 - bx1, bx0 - ax1)) ** 2 + np.maximum(0, np.maximum(ay0 - by1, by0 - ay1)) ** 2
+            inside = np.round(far, 6) <= limit
+            whole(a0[inside], a1[inside], b0[inside], b1[inside])
+            open_ = ~inside & (np.round(near, 6) <= limit)
+            a0, a1, b0, b1 = a0[open_], a1[open_], b0[open_], b1[open_]
+            few = (a1 - a0) * (b1 - b0) <= 1024
+            s, z, t, c = a0[few], (a1 - a0)[few], b0[few], (b1 - b0)[few]
+            sizes = z * c
+            for part in np.split(np.arange(len(s)), np.flatnonzero(np.diff(np.cumsum(sizes) // PAIRS)) + 1) if len(s) else []:
+                k = np.repeat(part, sizes[part])
+                o = np.arange(len(k)) - np.repeat(np.cumsum(sizes[part]) - sizes[part], sizes[part])
+                p, q = s[k] + o // c[k], t[k] + o % c[k]
+                hit = np.round((px[p] - px[q]) ** 2 + (py[p] - py[q]) ** 2, 6) <= limit
+                np.add.at(deg, p[hit], w[q[hit]])
+            a0, a1, b0, b1 = a0[~few], a1[~few], b0[~few], b1[~few]
+            left = (a1 - a0) >= (b1 - b0)  # the longer range is halved
+            am, bm = np.where(left, (a0 + a1) // 2, a1), np.where(left, b1, (b0 + b1) // 2)
+            a0, a1, b0, b1 = np.append(a0, np.where(left, am, a0)), np.append(am, a1), np.append(b0, np.where(left, b0, bm)), np.append(bm, b1)
+    out = np.empty(len(w), np.int64)
+    out[order] = deg + np.cumsum(total[:-1])
+    return out
+
+
+def point_degrees(nodes: DataFrame, eps: float) -> DataFrame:
+    """(_u, links): the number of records, other than its own copies, within ``eps`` of each node (_g, _v = [x, y], _u, n)."""
+    side, reach = GRID * eps, eps * (1 + 1e-6) + 1e-5  # the squared distance is rounded
+    cells = [F.struct(F.floor((F.col("x") + i * reach) / side).alias("i"), F.floor((F.col("y") + j * reach) / side).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    flat = nodes.select("_g", "_u", "n", F.element_at("_v", 1).alias("x"), F.element_at("_v", 2).alias("y"))
+    placed = flat.withColumn("own", cells[4]).select("*", F.explode(F.array_distinct(F.array(*cells))).alias("t")).select("_g", "t.i", "t.j", "_u", "x", "y", "n", (F.col("own") == F.col("t")).alias("own"))
+    limit = round(eps * eps, 6)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if not sum(p.num_rows for p in parts):
+            return
+        t = pa.Table.from_batches(parts)
+        uid, x, y, n, own = (t[c].to_numpy() for c in ("_u", "x", "y", "n", "own"))
+        _, bucket = np.unique(np.stack([t[c].to_numpy() for c in ("_g", "i", "j")], axis=1), axis=0, return_inverse=True)
+        bucket = bucket.ravel()
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(np.searchsorted(bucket[order], np.arange(bucket.max() + 2)) // 200_000)) + 1
+        for first, last in zip(np.append(0, cuts), np.append(cuts, bucket.max() + 1)):
+            at = order[np.searchsorted(bucket[order], first) : np.searchsorted(bucket[order], last)]
+            if len(at):
+                deg = disc_counts(bucket[at] - first, x[at], y[at], n[at], eps, limit) - n[at]
+                mine = own[at]
+                yield pa.RecordBatch.from_arrays([pa.array(uid[at][mine]), pa.array(deg[mine])], ["_u", "links"])
+
+    rows = nodes.count()
+    return placed.repartition(tasks_for(nodes.sparkSession, rows, TASK_ROWS), "_g", "i", "j").mapInArrow(count, "_u long, links long")
+
+
 def bands(attributes: int, differ: int) -> tuple[list[list[int]], list[tuple[int, int]]]:
     """Blocks of attributes, and the pairs of blocks that are the bands."""
     blocks = [b.tolist() for b in np.array_split(np.arange(attributes), min(attributes, differ + 2))]
@@ -129,16 +221,18 @@ def bands(attributes: int, differ: int) -> tuple[list[list[int]], list[tuple[int
 
 
 def attribute_links(nodes: DataFrame, attributes: int, limit: float, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """(v, u, links) from nodes (_g, _v, _u): a spanning forest of the links of a squared distance of at most ``limit``, and each
-    node's number of links found (a pair is counted in its first band). The first ``attributes`` components are integers."""
+    """(v, u, links) from nodes (_g, _v, _u, n): a spanning forest of the links of a squared distance of at most ``limit``, and the
+    number of records linked to each node found, other than its own copies (a pair is counted in its first band). The first ``attributes`` components are integers."""
     spark = nodes.sparkSession
+    if "n" not in nodes.columns:  # each node is one record
+        nodes = nodes.withColumn("n", F.lit(1).cast("long"))
     differ = math.floor(limit)
     blocks, pairs = bands(attributes, differ)
     least = (attributes - differ) / (attributes + differ)
     keys = [F.struct(F.lit(i).alias("b"), F.xxhash64(F.lit(i), F.col("_g"), *[F.element_at("_v", j + 1) for k in p for j in blocks[k]]).alias("k")) for i, p in enumerate(pairs)]
     small = F.transform(F.slice("_v", 1, attributes), lambda e: e.cast("short"))
     rest = F.slice(F.col("_v"), attributes + 1, 1 << 20)
-    slim = nodes.select("_g", "_u", small.alias("_f"), rest.alias("_r"), F.explode(F.array(*keys)).alias("t")).select("_g", "_u", "_f", "_r", "t.b", "t.k")
+    slim = nodes.select("_g", "_u", "n", small.alias("_f"), rest.alias("_r"), F.explode(F.array(*keys)).alias("t")).select("_g", "_u", "n", "_f", "_r", "t.b", "t.k")
     hot = slim.groupBy("k").count().where(F.col("count") > hot_bucket).select("k", F.ceil(F.col("count") / hot_bucket).cast("int").alias("s"))
     if (n_hot := hot.count()) == 0:
         placed = slim.withColumn("side", F.lit(2))
@@ -150,7 +244,7 @@ def attribute_links(nodes: DataFrame, attributes: int, limit: float, hot_bucket:
         mixed = slim.join(hot, "k", "left").withColumn("s", F.coalesce("s", F.lit(1))).withColumn("c", chunk).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
         low, high = F.least("c", F.col("o").cast("long")), F.greatest("c", F.col("o").cast("long"))
         side = F.when(low == high, 2).when(F.col("c") == low, 0).otherwise(1)
-        placed = mixed.select("_g", "_u", "_f", "_r", "b", F.when(F.col("s") == 1, F.col("k")).otherwise(F.xxhash64("k", low, high)).alias("k"), side.alias("side"))
+        placed = mixed.select("_g", "_u", "n", "_f", "_r", "b", F.when(F.col("s") == 1, F.col("k")).otherwise(F.xxhash64("k", low, high)).alias("k"), side.alias("side"))
     edges = np.array([b[0] for b in blocks])
     number = np.full((len(blocks), len(blocks)), -1)
     for i, p in enumerate(pairs):
@@ -163,7 +257,7 @@ def attribute_links(nodes: DataFrame, attributes: int, limit: float, hot_bucket:
         t = pa.Table.from_batches(parts)
         del parts
         order = np.lexsort((t["_u"].to_numpy(), t["k"].to_numpy()))
-        key, uid, band, side, g = (t[c].to_numpy()[order] for c in ("k", "_u", "b", "side", "_g"))
+        key, uid, band, side, g, n = (t[c].to_numpy()[order] for c in ("k", "_u", "b", "side", "_g", "n"))
         f = np.asarray(t["_f"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.int16).reshape(-1, attributes)[order]
         width = len(t["_r"][0])
         r = vectors(t["_r"], width)[order] if width else np.zeros((len(uid), 0))
@@ -186,8 +280,8 @@ def attribute_links(nodes: DataFrame, attributes: int, limit: float, hot_bucket:
             p0 = np.argmax(whole, axis=1)
             whole[np.arange(len(a)), p0] = False
             once = number[p0, np.argmax(whole, axis=1)] == band[a]
-            np.add.at(counts, a[once], 1)
-            np.add.at(counts, b[once], 1)
+            np.add.at(counts, a[once], n[b[once]])
+            np.add.at(counts, b[once], n[a[once]])
             found_a.append(uid[a]), found_b.append(uid[b])
 
         start = np.array([s for s, _ in runs(key)])
@@ -263,22 +357,14 @@ def similarity_clusters(df: DataFrame, group: Column, uid: Column, vec: list[Col
 def describe_clusters(df: DataFrame, group: Column, uid: Column, vec: list[Column], attributes: int, eps2: float, least: int = 3, tight: float = 0.2, parts: int = 8) -> DataFrame:
     """(group, first_id, medoid_id, size, loose, typical): the clusters, loose ones split into parts around their medoids.
 
-    A record's degree is its number of linked records (copies included); of points, the number in the 5 × 5 cells around it,
-    whose side is the distance over the root of 2. A cluster of 50 records or more is loose if its best member is linked to
+    A record's degree is its number of linked records (copies included). A cluster of 50 records or more is loose if its best member is linked to
     less than ``tight`` of it; then up to ``parts`` members of highest degree, more than three distances apart, become medoids
     and each record joins the nearest one. ``typical`` lists the 3 members of highest degree; ties take the lower id.
     """
     _, nodes = cluster_nodes(df, group, uid, vec, attributes, eps2)
-    if attributes:
-        graded = nodes.withColumn("deg", F.col("links") + F.col("n") - 1)
-    else:
-        side = math.sqrt(eps2 / 2) * (1 - 1e-9)
-        cx, cy = F.floor(F.element_at("_v", 1) / side), F.floor(F.element_at("_v", 2) / side)
-        celled = nodes.withColumns({"cx": cx, "cy": cy})
-        cells = celled.groupBy("_g", "cx", "cy").agg(F.sum("n").alias("n"))
-        steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)])
-        around = cells.withColumn("o", F.explode(steps)).groupBy("_g", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy")).agg(F.sum("n").alias("deg"))
-        graded = celled.join(around, ["_g", "cx", "cy"]).withColumn("deg", F.col("deg") - 1).drop("cx", "cy")
+    if not attributes:
+        nodes = nodes.drop("links").join(point_degrees(nodes, math.sqrt(eps2)), "_u")
+    graded = nodes.withColumn("deg", F.col("links") + F.col("n") - 1)
     cut = Cut(df.sparkSession)
     graded = cut(graded.select("_g", "_u", "_v", "n", "deg", "first_id"), "graded")
     sums = graded.groupBy("_g", "first_id").agg(F.sum("n").alias("size"), F.max("deg").alias("top")).where(F.col("size") >= least)

@@ -146,6 +146,33 @@ def test_described_clusters_cover_all_members(spark):
     assert parts == sizes
 
 
+def test_disc_counts():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 0.2, 900), rng.random(500) * 5, np.full(20, 1.0)])
+    y = np.concatenate([rng.normal(0, 0.2, 900), rng.random(500) * 5 - 9, np.full(20, 1.0)])
+    bucket, n = rng.integers(0, 2, len(x)), rng.integers(1, 4, len(x))
+    near = (np.round((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2, 6) <= 0.065025) & (bucket[:, None] == bucket)
+    assert (groups.disc_counts(bucket, x, y, n, 0.255, 0.065025) == near @ n).all()
+
+
+def test_point_degrees_are_links(spark):
+    rows = list(dict.fromkeys(random_plane(500, 6)))
+    nodes = plane(spark, rows).groupBy(F.col("g").alias("_g"), F.array("a", "b").alias("_v")).agg(F.min("id").alias("_u"), F.count(F.lit(1)).alias("n"))
+    got = {r["_u"]: r["links"] for r in groups.point_degrees(nodes, 0.255).collect()}
+    first = {}
+    for g, i, a, b in rows:
+        first.setdefault((g, a, b), i)
+    want = {u: sum(h == g and (c, d) != (a, b) and round((a - c) ** 2 + (b - d) ** 2, 6) <= 0.065025 for h, _, c, d in rows) for (g, a, b), u in first.items()}
+    assert got == want
+
+
+def test_record_links_count_copies(spark):
+    vs = [[0, 0, 0, 0, 0, 0], [0, 0, 0, 0, 0, 1], [3, 3, 3, 3, 3, 3]]
+    nodes = spark.createDataFrame([(1, [float(e) for e in v], i, n) for i, (v, n) in enumerate(zip(vs, (1, 5, 2)))], "_g long, _v array<double>, _u long, n long")
+    got = {r["v"]: r["links"] for r in groups.attribute_links(nodes, 6, 1.5).groupBy("v").agg(F.sum("links").alias("links")).collect()}
+    assert got == {0: 5, 1: 1}
+
+
 @pytest.mark.parametrize("leaf_rows", [2048, 30])
 def test_subset_musts(spark, leaf_rows):
     rng = np.random.default_rng(8)
