@@ -358,8 +358,8 @@ def describe_clusters(df: DataFrame, group: Column, uid: Column, vec: list[Colum
     """(group, first_id, medoid_id, size, loose, typical): the clusters, loose ones split into parts around their medoids.
 
     A record's degree is its number of linked records (copies included). A cluster of 50 records or more is loose if its best member is linked to
-    less than ``tight`` of it; then up to ``parts`` members of highest degree, more than three distances apart, become medoids
-    and each record joins the nearest one. ``typical`` lists the 3 members of highest degree; ties take the lower id.
+    less than ``tight`` of it; then medoids are taken one by one from all its members, up to ``parts``: each time the member of
+    highest degree more than three distances from all taken before. Each record joins the nearest medoid. ``typical`` lists the 3 members of highest degree; ties take the lower id.
     """
     _, nodes = cluster_nodes(df, group, uid, vec, attributes, eps2)
     if not attributes:
@@ -367,26 +367,21 @@ def describe_clusters(df: DataFrame, group: Column, uid: Column, vec: list[Colum
     graded = nodes.withColumn("deg", F.col("links") + F.col("n") - 1)
     cut = Cut(df.sparkSession)
     graded = cut(graded.select("_g", "_u", "_v", "n", "deg", "first_id"), "graded")
-    sums = graded.groupBy("_g", "first_id").agg(F.sum("n").alias("size"), F.max("deg").alias("top")).where(F.col("size") >= least)
-    sums = sums.withColumn("loose", (F.col("size") >= 50) & (F.col("top") + 1 < tight * F.col("size")))
-    rank = F.row_number().over(Window.partitionBy("first_id").orderBy(F.desc("deg"), "_u"))
-    best = graded.join(sums, ["_g", "first_id"]).withColumn("r", rank).where(F.col("r") <= 64)
-    gap = 9 * eps2
-
-    @F.udf("array<struct<u:bigint,v:array<double>>>")
-    def choose(cands, loose):
-        picked = []
-        for _, u, v in sorted((c["r"], c["_u"], c["_v"]) for c in cands):
-            if all(sum((a - b) ** 2 for a, b in zip(v, w)) > gap for _, w in picked):
-                picked.append((u, v))
-                if not loose or len(picked) == parts:
-                    break
-        return picked
-
-    # at most 64 candidates a cluster
-    chosen = best.groupBy("_g", "first_id", "size", "loose").agg(F.collect_list(F.struct("r", "_u", "_v")).alias("c")).withColumn("m", choose("c", "loose")).drop("c")
-    dist = lambda m: F.aggregate(F.zip_with(m["v"], F.col("_v"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e)
-    mine = graded.join(chosen, ["_g", "first_id"]).withColumn("medoid_id", F.array_min(F.transform("m", lambda m: F.struct(dist(m).alias("d"), m["u"].alias("u"))))["u"])
+    dist = lambda v, w: F.aggregate(F.zip_with(v, w, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e)
+    best = lambda: F.max_by(F.struct(F.col("_u").alias("u"), F.col("_v").alias("v")), F.struct("deg", -F.col("_u")))
+    sums = graded.groupBy("_g", "first_id").agg(F.sum("n").alias("size"), F.max("deg").alias("top"), best().alias("m")).where(F.col("size") >= least)
+    sums = cut(sums.withColumn("loose", (F.col("size") >= 50) & (F.col("top") + 1 < tight * F.col("size"))), "sums")
+    # the members of loose clusters that are far enough from all medoids so far
+    medoids = sums.select("first_id", "m")
+    newest, open_ = sums.where("loose").select("first_id", "m"), graded.select("_u", "_v", "deg", "first_id")
+    for turn in range(1, parts):
+        open_ = cut(open_.join(newest, "first_id").where(dist(F.col("m.v"), F.col("_v")) > 9 * eps2).drop("m"), f"open{turn}")
+        newest = cut(open_.groupBy("first_id").agg(best().alias("m")), f"medoids{turn}")
+        if newest.limit(1).count() == 0:
+            break
+        medoids = medoids.unionByName(newest)
+    chosen = sums.drop("top", "m").join(medoids.groupBy("first_id").agg(F.collect_list("m").alias("m")), "first_id")
+    mine = graded.join(chosen, ["_g", "first_id"]).withColumn("medoid_id", F.array_min(F.transform("m", lambda m: F.struct(dist(m["v"], F.col("_v")).alias("d"), m["u"].alias("u"))))["u"])
     order = F.row_number().over(Window.partitionBy("first_id", "medoid_id").orderBy(F.desc("deg"), "_u"))
     typical = mine.withColumn("r", order).where(F.col("r") <= 3).groupBy("first_id", "medoid_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "_u"))), lambda e: e["_u"]).alias("typical"))
     sized = mine.groupBy(F.col("_g").alias("group"), "first_id", "medoid_id", "loose").agg(F.sum("n").alias("size"))

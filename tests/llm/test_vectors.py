@@ -146,6 +146,24 @@ def test_described_clusters_cover_all_members(spark):
     assert parts == sizes
 
 
+def test_loose_clusters_are_split_by_all_members(spark):
+    rng = np.random.default_rng(3)
+    crowd = [(1, i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(0, 0.02, (80, 2)))]
+    chain = [(1, 100 + i, 0.1 * i, 0.0) for i in range(1, 400)]
+    rows = crowd + chain
+    got = groups.describe_clusters(plane(spark, rows), F.col("g"), F.col("id"), vec(), 0, 0.255**2).collect()
+    xy, ids = np.array([r[2:] for r in rows]), np.array([r[1] for r in rows])
+    d2 = ((xy[:, None] - xy) ** 2).sum(axis=2)
+    deg = (np.round(d2, 6) <= 0.065025).sum(axis=1)
+    medoids = []
+    for k in np.lexsort((ids, -deg)):
+        if len(medoids) < 8 and all(d2[k, m] > 9 * 0.255**2 for m in medoids):
+            medoids.append(k)
+    assert len(medoids) == 8 and {r["medoid_id"] for r in got} == set(ids[medoids].tolist()) and all(r["loose"] for r in got)
+    size = np.bincount(d2[:, medoids].argmin(axis=1), minlength=8)
+    assert sum(r["size"] for r in got) == len(rows) and {r["medoid_id"]: r["size"] for r in got} == dict(zip(ids[medoids].tolist(), size.tolist()))
+
+
 def test_disc_counts():
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(0, 0.2, 900), rng.random(500) * 5, np.full(20, 1.0)])
