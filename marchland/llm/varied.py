@@ -124,21 +124,25 @@ def varied_subset(df: DataFrame, group: Column, uid: Column, vec: list[Column],
     cands = cut(placed.repartition(tasks_for(spark, rows, TASK_ROWS), "_g", "_leaf").mapInArrow(_nominate(radius2, size), CANDIDATE), "round1")
 
     must = cands.where("alone").select("_g", "_u", "_v")
-    if trees:
-        exact = d <= PROJECTED  # else a box of the projection is no bound, and all leaves of the group are asked
-
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                g, y = b.column("_g").to_numpy(), vectors(b.column("_v"), d) @ gauss
-                for key in np.unique(g):
-                    if (tree := shared.value.get(int(key))) is None:
-                        continue
-                    at = np.flatnonzero(g == key)
+    exact = d <= PROJECTED  # else a box of the projection is no bound, and all leaves of the group are asked
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g, y = b.column("_g").to_numpy(), vectors(b.column("_v"), d) @ gauss
+            for key in np.unique(g):
+                at = np.flatnonzero(g == key)
+                if (tree := shared.value.get(int(key))) is None:  # one leaf, which may have been taken in parts
+                    r, leaf = at, np.zeros(len(at), np.int64)
+                else:
                     r, leaf = tree.near(y[at], np.full(len(at), radius2 if exact else np.inf))
                     r = at[r]
-                    for s in range(0, len(r), 8192):
-                        part = pa.array(r[s : s + 8192])
-                        yield pa.RecordBatch.from_arrays([b.column("_g").take(part), b.column("_u").take(part), b.column("_v").take(part), pa.array(leaf[s : s + 8192])], ["_g", "_u", "_v", "_leaf"])
+                for s in range(0, len(r), 8192):
+                    part = pa.array(r[s : s + 8192])
+                    yield pa.RecordBatch.from_arrays([b.column("_g").take(part), b.column("_u").take(part), b.column("_v").take(part), pa.array(leaf[s : s + 8192])], ["_g", "_u", "_v", "_leaf"])
+
+    # the groups that have several leaves or were taken in parts
+    cut_up = [r[0] for r in nodes.groupBy("_g").count().where(F.col("count") > min(leaf_rows, 2 * LEAF_ROWS)).limit(1001).select("_g").collect()]
+    if cut_up:
 
         def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts = list(batches)
@@ -159,8 +163,8 @@ def varied_subset(df: DataFrame, group: Column, uid: Column, vec: list[Column],
 
         asked = must.mapInArrow(ask, "_g long, _u long, _v array<double>, _leaf long").withColumn("asks", F.lit(True))
         data = placed.select("_g", "_u", "_v", "_leaf", F.lit(False).alias("asks"))
-        if len(trees) <= 1000:
-            data = data.where(F.col("_g").isin(list(trees)))
+        if len(cut_up) <= 1000:
+            asked, data = (f.where(F.col("_g").isin(cut_up)) for f in (asked, data))
         met = asked.unionByName(data).repartition(tasks_for(spark, rows, 4 * TASK_ROWS), "_g", "_leaf").mapInArrow(answer, "_u long")
         must = cut(must.join(met.distinct(), "_u", "left_anti").select("_g", "_u", "_v"), "must")
 

@@ -201,6 +201,14 @@ def test_subset_musts(spark, leaf_rows):
     assert len(got) == max(40, len(lone)) and len({r["id"] for r in got}) == len(got)
 
 
+def test_subset_musts_of_a_group_in_parts_without_a_tree(spark):
+    rng = np.random.default_rng(9)
+    crowd = [(1, i, float(x), float(y)) for i, (x, y) in enumerate(rng.random((2 * varied.LEAF_ROWS + 400, 2)))]
+    rows = [(1, -2, 900.0, 0.0), (1, -1, 500.0, 0.0), *crowd, (1, len(crowd), 500.5, 0.0)]
+    got = varied.varied_subset(plane(spark, rows), F.col("g"), F.col("id"), vec(), 1.005**2, 10, 1_000_000).collect()
+    assert {r["id"] for r in got if r["must"]} == {-2}
+
+
 def test_subset_small_empty_and_copies(spark):
     assert varied.varied_subset(plane(spark, []), F.col("g"), F.col("id"), vec(), 1.0, 5).count() == 0
     rows = [(1, 1, 0.0, 0.0), (1, 2, 0.0, 0.0), (1, 3, 50.0, 0.0), (2, 4, 0.0, 0.0), (2, 5, None, 0.0)]
