@@ -95,7 +95,45 @@ def _nominate(radius2: float, size: int):
     return run
 
 
-def varied_subset(df: DataFrame, group: Column, uid: Column, vec: list[Column], radius2: float, size: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def _fill_up(radius2: float):
+    """Of each (_g, _leaf) run: the records that picks (asks) stand for, and more picks for those that none reaches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if not sum(p.num_rows for p in parts):
+            return
+        t = pa.Table.from_batches(parts).sort_by([("_g", "ascending"), ("_leaf", "ascending"), ("_u", "ascending")])
+        g, leaf, uid, n, asks = (t[c].to_numpy() for c in ("_g", "_leaf", "_u", "n", "asks"))
+        x = vectors(t["_v"], len(t["_v"][0]))
+        for s, e in runs(g, leaf):
+            q, data = s + np.flatnonzero(asks[s:e]), s + np.flatnonzero(~asks[s:e])
+            serves, left = np.zeros(len(q), np.int64), [data[:0]]
+            for a in range(0, len(data), 2048):
+                i = data[a : a + 2048]
+                best, nearest = np.full(len(i), np.inf), np.zeros(len(i), np.int64)
+                for b in range(0, len(q), 4096):
+                    d2 = squared(x[i], x[q[b : b + 4096]])
+                    k = d2.argmin(axis=1)
+                    low = d2[np.arange(len(i)), k]
+                    nearest = np.where(low < best, b + k, nearest)
+                    best = np.minimum(best, low)
+                np.add.at(serves, nearest[best <= radius2], n[i[best <= radius2]])
+                left.append(i[best > radius2])
+            out, counts, open_ = [q], [serves], np.concatenate(left)
+            for a in range(0, len(open_), 2 * LEAF_ROWS):
+                i = open_[a : a + 2 * LEAF_ROWS]
+                d2 = squared(x[i], x[i])
+                sim = np.where(d2 <= radius2, np.maximum(1e-6, 1 - d2 / radius2), 0).astype(np.float32)
+                picked = np.array(lazy_greedy(sim, n[i].astype(np.float32), 1, True))
+                out.append(i[picked])
+                counts.append(np.bincount(sim[:, picked].argmax(axis=1), n[i], len(picked)).astype(np.int64))
+            at = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(g[at]), pa.array(uid[at]), pa.array(np.concatenate(counts))], ["_g", "_u", "stands_for"])
+
+    return run
+
+
+def varied_subset(df: DataFrame, group: Column, uid: Column, vec: list[Column], radius2: float, size: int, leaf_rows: int = LEAF_ROWS, reach: bool = False) -> DataFrame:
     """(group, id, must, stands_for): per group the records that any subset reaching every record must hold (must), and others
     up to ``size`` in all; stands_for is the number of records served. A record is reached within the squared distance
     ``radius2``, rounded to 6 decimals.
@@ -103,6 +141,9 @@ def varied_subset(df: DataFrame, group: Column, uid: Column, vec: list[Column],
     Rows with a null group, id or component, or a NaN one, take no part. Rows repeated under one id count once; equal records
     are one choice, under their lowest id. A group with more musts than ``size`` gives them all; a small group may give fewer
     than ``size``, as equal records are taken once. An empty table gives an empty result.
+
+    With ``reach`` the musts take no room from the others: ``size`` are picked beyond them, and then as many as it takes for
+    every record to lie within the radius of one in the result; each record is counted once in stands_for, at its nearest pick.
     """
     spark = df.sparkSession
     cut = Cut(spark)
@@ -199,7 +240,13 @@ def varied_subset(df: DataFrame, group: Column, uid: Column, vec: list[Column],
                 yield pa.RecordBatch.from_arrays([pa.array(g[s + picked]), pa.array(uid[s + picked]), pa.array(serves)], ["_g", "_u", "stands_for"])
 
     taken = must.groupBy("_g").agg(F.count(F.lit(1)).alias("musts"))
-    final = rest.join(taken, "_g", "left").withColumn("room", F.lit(size) - F.coalesce("musts", F.lit(0)))
+    final = rest.join(taken, "_g", "left").withColumn("room", F.lit(size) - (F.lit(0) if reach else F.coalesce("musts", F.lit(0))))
     final = final.select("_g", "_u", "_v", "n", "room").repartition(tasks_for(spark, 1, 1), "_g").mapInArrow(last, "_g long, _u long, stands_for long")
+    if reach:
+        picks = cut(final.join(nodes.select("_u", "_v"), "_u").select("_g", "_u", "_v"), "picks")
+        asked = picks.mapInArrow(ask, "_g long, _u long, _v array<double>, _leaf long").select("*", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asks"))
+        data = placed.select("_g", "_u", "_v", "_leaf", "n", F.lit(False).alias("asks")).join(must.select("_u"), "_u", "left_anti").select(asked.columns)
+        counted = asked.unionByName(data).repartition(tasks_for(spark, rows, TASK_ROWS), "_g", "_leaf").mapInArrow(_fill_up(radius2), "_g long, _u long, stands_for long")
+        final = counted.groupBy("_g", "_u").agg(F.sum("stands_for").alias("stands_for"))
     both = must.select("_g", "_u", F.lit(True).alias("must"), F.lit(1).cast("long").alias("stands_for")).unionByName(final.select("_g", "_u", F.lit(False).alias("must"), "stands_for"))
     return both.select(F.col("_g").alias("group"), F.col("_u").alias("id"), "must", "stands_for")

@@ -201,6 +201,20 @@ def test_subset_musts(spark, leaf_rows):
     assert len(got) == max(40, len(lone)) and len({r["id"] for r in got}) == len(got)
 
 
+@pytest.mark.parametrize("leaf_rows", [2048, 40])
+def test_subset_reaches_every_record(spark, leaf_rows):
+    rng = np.random.default_rng(10)
+    lone = [(1, i, 100.0 + 5 * i, 0.0) for i in range(30)]
+    crowd = [(1, 100 + i, float(x), float(y)) for i, (x, y) in enumerate(np.round(rng.random((600, 2)) * 12, 1))]
+    rows = lone + crowd
+    got = varied.varied_subset(plane(spark, rows), F.col("g"), F.col("id"), vec(), 1.005**2, 20, leaf_rows, reach=True).collect()
+    at = {r[1]: r[2:] for r in rows}
+    assert {r[1] for r in lone} <= {r["id"] for r in got if r["must"]} and len({r["id"] for r in got}) == len(got) < 300
+    assert all(any(round((at[r["id"]][0] - x) ** 2 + (at[r["id"]][1] - y) ** 2, 6) <= 1.010025 for r in got) for _, _, x, y in rows)
+    assert sum(r["stands_for"] for r in got) == len(rows)
+    assert sum(not r["must"] for r in got) >= 20
+
+
 def test_subset_musts_of_a_group_in_parts_without_a_tree(spark):
     rng = np.random.default_rng(9)
     crowd = [(1, i, float(x), float(y)) for i, (x, y) in enumerate(rng.random((2 * varied.LEAF_ROWS + 400, 2)))]
