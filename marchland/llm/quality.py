@@ -11,9 +11,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from marchland.llm.quality_holdout import HOLDOUT
 from marchland.session import Cut, spread
@@ -53,10 +55,12 @@ WORD = "\\p{IsHan}|[\\p{L}\\p{N}&&[^\\p{IsHan}]]+"
 BROKEN = "\\p{L}[#*|%~&_^□�@$+<>\\\\]|[#*|%~&^□�]\\p{L}|[a-zà-ÿ][0-9][a-zà-ÿ]|[a-zà-ÿ][?¿][a-zà-ÿ]|[à-ÿÃÂ][¡-¿€‚„†‡ˆ‰‹‘’“”•™�\\x{80}-\\x{a0}]"
 #: Characters of text that one function word accounts for.
 SPAN = 40
+#: Words of a run that is looked for elsewhere in the text.
+RUN = 5
 
 FEATURES = (
     "n_words", "mean_word_length", "letter_share", "digit_share", "space_share", "symbol_share", "odd_share", "upper_share", "n_lines", "mean_line_length", "lines_ended_share",
-    "bullet_share", "common_word_share", "prose_share", "broken_word_share", "phrase_share", "word_share", "distinct_words", "distinct_word_share", "distinct_line_share", "separator_share",
+    "bullet_share", "common_word_share", "prose_share", "broken_word_share", "phrase_share", "word_share", "distinct_words", "distinct_word_share", "distinct_line_share", "separator_share", "repeated_share",
 )
 
 
@@ -64,14 +68,36 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
+@F.pandas_udf(DoubleType())
+def _repeated(words: pd.Series) -> pd.Series:
+    """The share of the letters and digits of each text that lies in runs of RUN words that occur three times or more."""
+
+    def share(ws: np.ndarray | None) -> float:
+        if ws is None or len(ws) < RUN + 2:
+            return 0.0
+        number: dict[str, int] = {}
+        code = np.array([number.setdefault(w, len(number)) for w in ws], np.uint64)
+        run = np.zeros(len(ws) - RUN + 1, np.uint64)
+        for i in range(RUN):
+            run = run * np.uint64(0x9E3779B97F4A7C15) + code[i : i + len(run)] + np.uint64(1)
+        _, at, count = np.unique(run, return_inverse=True, return_counts=True)
+        inside = np.zeros(len(ws), bool)
+        for i in range(RUN):
+            inside[i : i + len(run)] |= count[at] >= 3
+        size = np.array([len(w) for w in ws])
+        return float(size[inside].sum() / size.sum())
+
+    return pd.Series([share(ws) for ws in words], dtype="float64")
+
+
 def text_statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """The ``keep`` columns, ``n_chars`` and FEATURES of each row's text; a null text has nulls, an empty or blank one zeros.
 
     A word is a Han character or a run of other letters and digits. Shares are of characters for *_share of letters, digits, spaces, symbols, odd and
     separator characters, upper case (of letters), prose, phrase and word; of lines for lines_ended, bullet and distinct_line;
-    of words for common_word, broken_word and distinct_word. ``prose_share`` credits each function word with SPAN characters
+    of words for common_word, broken_word and distinct_word; of the words' characters for repeated. ``prose_share`` credits each function word with SPAN characters
     of its line. ``phrase_share`` and ``word_share`` are covered by the middle sentence, or the middle word, alone, if it
-    occurs three times or more.
+    occurs three times or more; ``repeated_share`` by any runs of RUN words of the whole text that do.
     """
     t, low = F.col("_t"), F.col("_low")
     n = F.greatest(F.col("n_chars"), F.lit(1)).cast("double")
@@ -122,6 +148,7 @@ def text_statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
         "distinct_line_share": F.size(F.array_distinct("_lines")).cast("double") / some_lines,
         "separator_share": _count(t, "[\\t|,;&<>{}\\[\\]=\\\\_]") / n,
     }
+    values["repeated_share"] = _repeated("_words")
     return base.select(*keep, "n_chars", *[F.when(t.isNotNull(), values[c]).alias(c) for c in FEATURES])
 
 
@@ -129,8 +156,8 @@ def weak_label(stats: DataFrame) -> Column:
     """1 for certain junk, 0 for certain prose, NULL where the rules are unsure."""
     repeated = F.greatest("phrase_share", "word_share")
     odd = F.greatest("odd_share", F.col("broken_word_share") / 2)
-    junk = (F.col("prose_share") < 0.45) | (odd > 0.12) | (repeated > 0.55) | ((F.col("n_words") > 40) & (F.col("distinct_words") < 9))
-    prose = (F.col("prose_share") > 0.6) & (odd < 0.06) & (repeated < 0.4)
+    junk = (F.col("prose_share") < 0.45) | (odd > 0.12) | (repeated > 0.55) | (F.col("repeated_share") > 0.8) | ((F.col("n_words") > 40) & (F.col("distinct_words") < 9))
+    prose = (F.col("prose_share") > 0.6) & (odd < 0.06) & (repeated < 0.4) & (F.col("repeated_share") < 0.7)
     return F.when(F.col("n_words") + F.col("symbol_share") <= 0, F.lit(None)).when(junk, 1).when(prose, 0)
 
 

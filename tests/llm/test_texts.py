@@ -124,3 +124,13 @@ def test_too_few_texts_to_train_on(spark):
     df = spark.createDataFrame([(1, "We have not seen the book that he was reading.")], "doc_id long, text string")
     assert quality.score_texts(df, "doc_id").count() == 1
     assert quality.score_texts(df.limit(0), "doc_id").count() == 0
+
+
+def test_repeated_phrases_without_sentence_ends_are_junk(spark):
+    phrase = "the old harbour was not open because of seven heavy storms and rain"
+    tail = "It was late when they came back. Nobody had seen the light in their house. They were tired. We went on."
+    texts = [(1, "\n".join([phrase] * 20)), (2, ", ".join([phrase] * 20)), (3, f"{phrase} " * 20 + tail), (4, tail)]
+    stats = quality.text_statistics(spark.createDataFrame(texts, "doc_id long, text string"), "text", ("doc_id",))
+    got = stats.withColumn("y", quality.weak_label(stats)).orderBy("doc_id").collect()
+    assert [r["y"] for r in got] == [1, 1, 1, 0]
+    assert got[0]["repeated_share"] == 1.0 and 0.85 < got[2]["repeated_share"] < 1.0 and got[3]["repeated_share"] == 0.0
