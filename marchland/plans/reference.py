@@ -520,7 +520,7 @@ def assign_new_points(spark, d):
 @query()
 def mlp_predict(spark, d):
     p = emb64(spark, d)
-    return baselines.perceptron(p, p, "label", "vec", hidden=(16,), rounds=20)
+    return baselines.perceptron(p, p, "label", "vec")
 
 
 @query()
