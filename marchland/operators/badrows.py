@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Field:
-    """``value`` is the pattern of a value; ``blank`` lets the field also be empty or ``?`` (then NULL)."""
+    """``value`` is the pattern of a value; ``blank`` lets the field also be empty or ``?``, plain spaces around ignored (then NULL)."""
 
     name: str
     value: str
@@ -23,7 +23,7 @@ class Field:
 
     @property
     def pattern(self) -> str:
-        inner = f"(?:{self.value}|\\??)" if self.blank else self.value
+        inner = f"(?:{self.value}| *\\?? *)" if self.blank else self.value
         return f'(?:{inner}|"{inner}")'
 
 

@@ -86,24 +86,52 @@ QUERIES = {
 }
 
 
-def _sql_pattern(kind: str) -> str:
-    return ",".join(f.pattern for f in badrows.SCHEMAS[kind]).replace("'", "''")
+#: The rules of the two kinds of files, written down from the description of the data: (column, least, most).
+_RULES = {
+    "BreastCancer": [*[(f"c{i}", 1, 10) for i in range(1, 10)], ("c10", 1, 2)],
+    "Dermatology": [*[(f"c{i}", 0, 1 if i == 10 else 3) for i in range(33)], ("c33", 1, 100), ("c34", 1, 6)],
+}
+_LINES = """
+WITH l AS (SELECT line_id, CASE WHEN file_name LIKE 'BreastCancer%' THEN 'BreastCancer' WHEN file_name LIKE 'Dermatology%' THEN 'Dermatology' END AS kind,
+  CASE WHEN right(line_text, 1) = chr(13) THEN left(line_text, len(line_text) - 1) ELSE line_text END AS t FROM raw_lines),
+s AS (SELECT *, list_transform(string_split(t, ','), lambda x: CASE WHEN len(x) > 1 AND x[1] = '"' AND x[-1] = '"' THEN x[2:-2] ELSE x END) AS f FROM l),
+"""
 
 
-_LINES = f"""
-WITH l AS (SELECT line_id, file_name, regexp_replace(line_text, '\\r$', '') AS t FROM raw_lines),
-good AS (SELECT line_id, file_name, t FROM l WHERE
-  (file_name LIKE 'BreastCancer%' AND regexp_full_match(t, '{_sql_pattern("BreastCancer")}')) OR
-  (file_name LIKE 'Dermatology%' AND regexp_full_match(t, '{_sql_pattern("Dermatology")}')))
+def _field_ok(kind: str, at: int, name: str, least: int, most: int) -> str:
+    """Whether field ``at`` (from 1) holds a whole number of the range; a quote left in it fails the pattern."""
+    v = f"trim(f[{at}], ' ')"
+    blank = f" OR {v} IN ('', '?')" if (kind, name) in (("BreastCancer", "c6"), ("Dermatology", "c33")) else ""
+    return f"coalesce((regexp_full_match({v}, '[0-9]+([.]0+)?') AND TRY_CAST({v} AS DOUBLE) BETWEEN {least} AND {most}){blank}, false)"
+
+
+def _broken_sql() -> str:
+    """b: every line with the name of its first broken field, NULL for valid lines."""
+    cases = []
+    for kind, rules in _RULES.items():
+        ok = {n: _field_ok(kind, i + 1 + (kind == "BreastCancer"), n, lo, hi) for i, (n, lo, hi) in enumerate(rules)}
+        if kind == "BreastCancer":
+            ok = {"c0": "coalesce(regexp_full_match(trim(f[1], ' '), '[0-9]+'), false)", **ok}
+        whens = " ".join(f"WHEN NOT {c} THEN '{n}'" for n, c in ok.items())
+        cases.append(f"WHEN kind = '{kind}' THEN CASE {whens} WHEN len(f) > {len(ok)} THEN 'end_of_line' END")
+    return f"b AS (SELECT *, CASE WHEN t IS NULL THEN NULL {' '.join(cases)} END AS broken_field FROM s)"
+
+
+_BROKEN = _LINES + _broken_sql()
+_FAILED = "(t IS NULL OR kind IS NULL OR broken_field IS NOT NULL)"
+_QUOTED = '([^",]*|"([^"]|"")*")'
+_REASONS = f"""{_BROKEN}
+SELECT line_id, kind, CASE WHEN t IS NULL THEN 'null_line' WHEN kind IS NULL THEN 'unknown_kind' WHEN regexp_full_match(t, '[\\s\\x0B]*') THEN 'blank'
+    WHEN NOT regexp_full_match(t, '{_QUOTED}(,{_QUOTED})*') THEN 'broken_quotes'
+    WHEN n_fields <> CASE kind WHEN 'BreastCancer' THEN 11 ELSE 35 END THEN 'field_count' ELSE 'invalid_value' END AS reason, broken_field, n_fields
+FROM (SELECT *, len(regexp_replace(regexp_replace(t, '"[^"]*("|$)', '', 'g'), '[^,]', '', 'g'))::INTEGER + 1 AS n_fields FROM b) WHERE {_FAILED}
 """
 
 
 def _typed_sql(kind: str) -> str:
-    cols = ", ".join(
-        f"TRY_CAST(regexp_replace(trim(replace(split_part(t, ',', {i + 1}), '\"', '')), '\\.0+$', '') AS {'BIGINT' if f.cast == 'bigint' else 'INTEGER'}) AS {f.name}"
-        for i, f in enumerate(badrows.SCHEMAS[kind])
-    )
-    return f"{_LINES} SELECT line_id, {cols} FROM good WHERE file_name LIKE '{kind}%'"
+    names = (["c0"] if kind == "BreastCancer" else []) + [n for n, _, _ in _RULES[kind]]
+    cols = ", ".join(f"TRY_CAST(TRY_CAST(trim(f[{i + 1}], ' ') AS DOUBLE) AS {'BIGINT' if kind == 'BreastCancer' and n == 'c0' else 'INTEGER'}) AS {n}" for i, n in enumerate(names))
+    return f"{_BROKEN} SELECT line_id, {cols} FROM b WHERE kind = '{kind}' AND NOT {_FAILED}"
 
 
 _USABLE = "(SELECT DISTINCT pt_id, lat, lon FROM hubei_points WHERE lat BETWEEN 15 AND 55 AND lon BETWEEN 70 AND 140)"
@@ -127,15 +155,17 @@ n AS (SELECT a.pt_id AS a_id, b.pt_id AS b_id FROM c a, range(-1, 2) dy(dy), ran
           + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 50)
 """
 
-_P5 = f"""
-SELECT DISTINCT 'breast_cancer' AS src, rec_id, 'c6' AS field FROM breast_cancer WHERE NOT coalesce(regexp_full_match(c6, '{whole("10|[1-9]")}'), false)
+_P5 = """
+SELECT DISTINCT 'breast_cancer' AS src, rec_id, 'c6' AS field FROM breast_cancer
+  WHERE NOT coalesce(regexp_full_match(trim(c6, ' '), '[0-9]+([.]0+)?') AND TRY_CAST(trim(c6, ' ') AS DOUBLE) BETWEEN 1 AND 10, false)
 UNION ALL SELECT DISTINCT 'breast_cancer', rec_id, 'c10' FROM breast_cancer WHERE coalesce(c10 NOT IN (1, 2), true)
 UNION ALL SELECT DISTINCT 'dermatology', rec_id, 'c33' FROM dermatology WHERE NOT coalesce(NOT isnan(c33) AND c33 > 0 AND c33 <= 100, false)
 """
 
 ORACLE = {
     "p5_found": _P5,
-    "p1_found": f"{_LINES} SELECT line_id FROM raw_lines ANTI JOIN good USING (line_id)",
+    "p1_found": f"{_BROKEN} SELECT line_id FROM b WHERE {_FAILED}",
+    "p1_reasons": _REASONS,
     "p1_breast_cancer_rows": _typed_sql("BreastCancer"),
     "p1_dermatology_rows": _typed_sql("Dermatology"),
     "p2_found": f"WITH p AS {_USABLE}, {_WITHIN}, {_NEAR} SELECT 'near' AS kind, a_id, b_id FROM n UNION ALL SELECT 'within', a_id, b_id FROM w",
