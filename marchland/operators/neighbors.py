@@ -50,7 +50,7 @@ def knn(df: DataFrame, k: int, uid: str = "id", dims: list[str] | str = ("x", "y
     cut = Cut(df.sparkSession)
     slim = _clean(df, uid, dims)
     distinct = cut(tree_knn.distinct_vectors(slim, F.lit(0), F.col("_u"), F.col("_v"), k + 2), "distinct")
-    lists = tree_knn.nearest_lists(distinct, np.eye(d), 1.0, k, leaf_rows, others=not approximate)
+    lists = tree_knn.nearest_lists(distinct, tree_knn.Space(d), k, leaf_rows, others=not approximate)
     several = distinct.where(F.size("_heads") > 1).select("_u", F.slice("_heads", 1, k + 1).alias("_heads"))
     each = lists.select("_u", "_near").join(several, "_u", "left").select(F.explode(F.coalesce("_heads", F.array("_u"))).alias("_u"), "_near")
     each = each.withColumn("_near", F.filter("_near", lambda e: e["i"] != F.col("_u")))

@@ -12,7 +12,7 @@ from marchland.functions.geometry import axis_cell, hilbert
 from marchland.operators.prep import extent
 from marchland.operators.tree_knn import Tree
 
-MAX_CELLS = 20_000
+SAMPLE_ROWS = 1_000_000
 
 
 def sample_rate(rows: int, parts: int) -> float:
@@ -28,6 +28,12 @@ def sample_points(df: DataFrame, rate: float, seed: int = 7) -> DataFrame:
     return df if rate >= 1 else df.where(h < rate)
 
 
+def _sample(df: DataFrame, rows: int, parts: int) -> np.ndarray:
+    """About SAMPLE_ROWS points at most, or 50 a part if that is more, spread over the whole table by hash."""
+    rate = min(sample_rate(rows, parts), max(SAMPLE_ROWS, 50 * parts) / max(1, rows))
+    return sample_points(df, rate).select("x", "y").toPandas().to_numpy(float)
+
+
 def _box(df: DataFrame):
     return extent(df).first()
 
@@ -67,9 +73,7 @@ def hilbert_ordered(df: DataFrame, parts: int, bits: int = 15) -> DataFrame:
 
 def kd_cells(df: DataFrame, parts: int) -> tuple[list[tuple[float, float, float, float]], Tree]:
     """Boxes (xmin, ymin, xmax, ymax) of median splits of a sample, on the wider side each time; they fill the plane."""
-    n = df.count()
-    rows = sample_points(df, sample_rate(n, parts)).select("x", "y").limit(50 * MAX_CELLS).toPandas().to_numpy(float)
-    tree = Tree(rows, min(parts, MAX_CELLS))
+    tree = Tree(_sample(df, df.count(), parts), parts)
     return [(lo[0], lo[1], hi[0], hi[1]) for lo, hi in tree.boxes], tree
 
 
@@ -77,12 +81,12 @@ def quad_cells(df: DataFrame, parts: int, levels: int = 12) -> list[tuple[float,
     """Boxes of a quad-tree over a sample, split while one holds more than its share of the sample."""
     b = _box(df)
     n = b["n"]
-    rows = sample_points(df, sample_rate(n, parts)).select("x", "y").limit(50 * MAX_CELLS).toPandas().to_numpy(float)
+    rows = _sample(df, n, parts)
     most = max(1, len(rows) // max(1, parts))
     out, stack = [], [(b["xmin"], b["ymin"], b["xmax"], b["ymax"], rows, 0)]
     while stack:
         x0, y0, x1, y1, pts, depth = stack.pop()
-        if len(pts) <= most or depth >= levels or len(out) + len(stack) >= MAX_CELLS:
+        if len(pts) <= most or depth >= levels:
             out.append((x0, y0, x1, y1))
             continue
         mx, my = (x0 + x1) / 2, (y0 + y1) / 2
@@ -94,7 +98,7 @@ def quad_cells(df: DataFrame, parts: int, levels: int = 12) -> list[tuple[float,
 def place(df: DataFrame, cells: list[tuple[float, float, float, float]]) -> DataFrame:
     """Adds ``cell``: the first box that holds the point, half open; points in none go to the overflow cell, len(cells).
 
-    The boxes (at most MAX_CELLS) are looked up in Arrow batches.
+    The boxes (a few for each part asked for) are looked up in Arrow batches.
     """
     import pyarrow as pa
     from pyspark.sql.types import LongType, StructField, StructType
@@ -108,11 +112,12 @@ def place(df: DataFrame, cells: list[tuple[float, float, float, float]]) -> Data
         for batch in batches:
             x, y = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y"))
             cell = np.full(len(x), len(b), np.int64)
-            for s in range(0, len(x), 1024):
-                px, py = x[s : s + 1024, None], y[s : s + 1024, None]
+            step = max(1, (1 << 22) // max(1, len(b)))
+            for s in range(0, len(x), step):
+                px, py = x[s : s + step, None], y[s : s + step, None]
                 hit = (px >= b[:, 0]) & ((px < b[:, 2]) | ((px == xmax) & (b[:, 2] == xmax))) & (py >= b[:, 1]) & ((py < b[:, 3]) | ((py == ymax) & (b[:, 3] == ymax)))
                 any_ = hit.any(axis=1)
-                cell[s : s + 1024][any_] = hit[any_].argmax(axis=1)
+                cell[s : s + step][any_] = hit[any_].argmax(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField("cell", LongType())]))

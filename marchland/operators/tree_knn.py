@@ -1,12 +1,13 @@
-"""Exact and bounded-error nearest-neighbour search over kd-tree leaves.
+"""Exact nearest-neighbour search over kd-tree leaves.
 
 A group with more vectors than one task should hold is cut into the leaves of a kd-tree. The tree is fitted on a bounded
-sample (``SAMPLE_PER_LEAF`` vectors a leaf, at most ``MAX_LEAVES`` leaves over all groups); every vector is then indexed. A
-task orders its leaf's vectors by a finer tree, looks through them from the nearest sub-leaf outwards, and then asks the
-other leaves that may still hold nearer ones.
+sample (``SAMPLE_PER_LEAF`` vectors a leaf, at most ``MAX_LEAVES`` leaves over all groups); every vector is then indexed. Where
+that many leaves would still be too large for a task, each is shared out over parts that have its box. A task orders its
+leaf's vectors by a finer tree, looks through them from the nearest sub-leaf outwards, and then asks the other leaves that
+may still hold nearer ones.
 
-The tree may live in a linear image of the vectors (``image``, d × m): with the identity all bounds are exact; with another
-map, ``factor`` says how far, relative to a squared distance, the image of a vector at that distance may lie.
+A ``Space`` says where the trees live and how candidates are verified; this one is the vectors' own, in which all bounds are
+exact. Others may map the vectors (``place``) and search a leaf in their own way.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from marchland.session import Cut, tasks_for
 
-MAX_LEAVES = 16_384
+MAX_LEAVES = 65_536
 SAMPLE_PER_LEAF = 16
 LEAF_ROWS = 16_384
 TASK_ROWS = 24_000
@@ -34,85 +35,136 @@ def vectors(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
 
 
 class Tree:
-    """A kd-tree by median splits of a sample; leaves are boxes that fill the whole space."""
+    """A kd-tree by median splits of a sample; leaves are boxes that fill the whole space, each shared by ``parts`` parts."""
+
+    def __init__(self, sample: np.ndarray, leaves: int, parts: int = 1) -> None:
+        self.parts = parts
+        dim, cut, left, right, inner, boxes = [], [], [], [], [], []
+
+        def grow(pts: np.ndarray, leaves: int, lo: np.ndarray, hi: np.ndarray) -> int:
+            """A node's number; a leaf's is -1 - its place."""
+            spread = np.ptp(pts, axis=0) if len(pts) else np.zeros(len(lo))
+            axis = int(spread.argmax())
+            if leaves <= 1 or len(pts) < 2 or spread[axis] <= 0:
+                boxes.append((lo, hi))
+                return -len(boxes)
+            values = np.sort(pts[:, axis])
+            at = values[len(values) * (leaves // 2) // leaves]
+            if at <= values[0]:
+                at = values[values > values[0]][0]
+            node = len(dim)
+            dim.append(axis), cut.append(at), left.append(0), right.append(0), inner.append((lo, hi))
+            below = pts[:, axis] < at
+            hi_l, lo_r = hi.copy(), lo.copy()
+            hi_l[axis], lo_r[axis] = at, at
+            left[node] = grow(pts[below], leaves // 2, lo, hi_l)
+            right[node] = grow(pts[~below], leaves - leaves // 2, lo_r, hi)
+            return node
 
-    def __init__(self, sample: np.ndarray, leaves: int) -> None:
-        self.dim, self.cut, self.left, self.right, self.boxes = [], [], [], [], []
         m = sample.shape[1]
-        self._grow(sample, leaves, np.full(m, -np.inf), np.full(m, np.inf))
-        self.lo, self.hi = np.array([b[0] for b in self.boxes]), np.array([b[1] for b in self.boxes])
-
-    def _grow(self, pts: np.ndarray, leaves: int, lo: np.ndarray, hi: np.ndarray) -> int:
-        """A node's number; a leaf's is -1 - its place."""
-        spread = np.ptp(pts, axis=0) if len(pts) else np.zeros(len(lo))
-        axis = int(spread.argmax())
-        if leaves <= 1 or len(pts) < 2 or spread[axis] <= 0:
-            self.boxes.append((lo, hi))
-            return -len(self.boxes)
-        values = np.sort(pts[:, axis])
-        cut = values[len(values) * (leaves // 2) // leaves]
-        if cut <= values[0]:
-            cut = values[values > values[0]][0]
-        node = len(self.dim)
-        self.dim.append(axis), self.cut.append(cut), self.left.append(0), self.right.append(0)
-        below = pts[:, axis] < cut
-        hi_l, lo_r = hi.copy(), lo.copy()
-        hi_l[axis], lo_r[axis] = cut, cut
-        self.left[node] = self._grow(pts[below], leaves // 2, lo, hi_l)
-        self.right[node] = self._grow(pts[~below], leaves - leaves // 2, lo_r, hi)
-        return node
-
-    def leaf(self, y: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(y), np.int64)
-        if not self.dim:
-            return out
-        dim, cut, left, right = map(np.array, (self.dim, self.cut, self.left, self.right))
-        while (open_ := out >= 0).any():
-            at = np.flatnonzero(open_)
+        grow(sample, leaves, np.full(m, -np.inf), np.full(m, np.inf))
+        self.dim, self.cut, self.left, self.right = np.array(dim, int), np.array(cut, float), np.array(left, int), np.array(right, int)
+        self.boxes = boxes
+        every = inner + boxes[::-1]  # so that the box of node k, leaves too, is at place k
+        self.lo, self.hi = np.array([x[0] for x in every]), np.array([x[1] for x in every])
+
+    def _part(self, uid: np.ndarray) -> np.ndarray:
+        return (((uid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(self.parts)).astype(np.int64)
+
+    def leaf(self, y: np.ndarray, uid: np.ndarray) -> np.ndarray:
+        out = np.full(len(y), 0 if len(self.dim) else -1, np.int64)
+        while len(at := np.flatnonzero(out >= 0)):
             node = out[at]
-            out[at] = np.where(y[at, dim[node]] < cut[node], left[node], right[node])
-            if (out < 0).all():
-                break
-        return -1 - out
+            out[at] = np.where(y[at, self.dim[node]] < self.cut[node], self.left[node], self.right[node])
+        leaf = -1 - out
+        return leaf if self.parts == 1 else leaf * self.parts + self._part(uid)
 
     def near(self, y: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) for each leaf box within the squared limit of the row."""
-        rows, leaves = [], []
-        for s in range(0, len(y), 4096):
-            part = y[s : s + 4096]
-            d2 = np.zeros((len(part), len(self.lo)))
-            for k in range(y.shape[1]):
-                d2 += np.maximum(0, np.maximum(self.lo[:, k] - part[:, k : k + 1], part[:, k : k + 1] - self.hi[:, k])) ** 2
-            r, leaf = np.nonzero(d2 <= limit[s : s + 4096, None] * (1 + 1e-9) + 1e-9)
-            rows.append(r + s), leaves.append(leaf)
-        return np.concatenate(rows) if rows else np.zeros(0, int), np.concatenate(leaves) if leaves else np.zeros(0, int)
-
-
-def group_trees(rows: DataFrame, image: np.ndarray, leaf_rows: int, group: str = "_g", vec: str = "_v", uid: str = "_u") -> dict[int, Tree]:
-    """A tree for each group of more than ``leaf_rows`` vectors; a group without one is a single leaf."""
+        """(row, leaf) for each leaf box within the squared limit of the row, by row; only nodes that are near are descended."""
+        rows, leaves = [np.zeros(0, int)], [np.zeros(0, int)]
+        step = max(1, min(4096, (1 << 22) // max(1, len(self.boxes))))
+        for s in range(0, len(y), step):
+            part, most = y[s : s + step], limit[s : s + step] * (1 + 1e-9) + 1e-9
+            r, node = np.arange(len(part)), np.full(len(part), 0 if len(self.dim) else -1)
+            got_r, got_l = [], []
+            while len(r):
+                ended = node < 0
+                got_r.append(r[ended]), got_l.append(-1 - node[ended])
+                r, node = np.tile(r[~ended], 2), np.concatenate([self.left[node[~ended]], self.right[node[~ended]]])
+                d2 = np.zeros(len(r))
+                for k in range(y.shape[1]):
+                    v = part[r, k]
+                    d2 += np.maximum(0, np.maximum(self.lo[node, k] - v, v - self.hi[node, k])) ** 2
+                ok = d2 <= most[r]
+                r, node = r[ok], node[ok]
+            r, leaf = np.concatenate(got_r), np.concatenate(got_l)
+            order = np.lexsort((leaf, r))
+            rows.append(r[order] + s), leaves.append(leaf[order])
+        r, leaf = np.concatenate(rows), np.concatenate(leaves)
+        if self.parts == 1:
+            return r, leaf
+        return np.repeat(r, self.parts), np.repeat(leaf * self.parts, self.parts) + np.tile(np.arange(self.parts), len(leaf))
+
+
+class Space:
+    """Where trees live: here the vectors' own d dimensions. ``factor`` times a squared distance bounds how far apart, squared,
+    the images of two vectors at that distance lie."""
+
+    factor = 1.0
+
+    def __init__(self, d: int) -> None:
+        self.d = d
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        return x
+
+    def leaves(self, x: np.ndarray, uid: np.ndarray, digits: int | None = None) -> Leaves:
+        return Leaves(x, uid, digits=digits)
+
+
+def group_trees(rows: DataFrame, space: Space, leaf_rows: int, group: str = "_g", vec: str = "_v", uid: str = "_u") -> dict[int, Tree]:
+    """A tree for each group of more than ``leaf_rows`` vectors; a group without one is a single leaf.
+
+    With more than MAX_LEAVES × ``leaf_rows`` vectors in all, leaves are larger and have parts; groups without a tree then have
+    at most 1 / MAX_LEAVES of all vectors.
+    """
     sizes = rows.groupBy(group).count()
     total = sizes.agg(F.sum("count")).first()[0] or 0
-    leaf_rows = max(leaf_rows, -(-total // MAX_LEAVES))
-    # at most total / leaf_rows <= MAX_LEAVES groups are that large
-    big = {r[group]: r["count"] for r in sizes.where(F.col("count") > leaf_rows).collect()}
+    planned = max(leaf_rows, -(-total // MAX_LEAVES))
+    # at most total / planned <= MAX_LEAVES groups are that large
+    big = {r[group]: r["count"] for r in sizes.where(F.col("count") > planned).collect()}
     if not big:
         return {}
-    rate = F.lit(1.5 * SAMPLE_PER_LEAF / leaf_rows)
-    chosen = rows.where(F.col(group).isin(list(big))) if len(big) <= 1000 else rows.join(F.broadcast(sizes.where(F.col("count") > leaf_rows).select(group)), group)
+    rate = F.lit(1.5 * SAMPLE_PER_LEAF / planned)
+    chosen = rows.where(F.col(group).isin(list(big))) if len(big) <= 1000 else rows.join(F.broadcast(sizes.where(F.col("count") > planned).select(group)), group)
     hashed = (F.xxhash64(F.lit(11), F.col(uid)).cast("double") / F.lit(2.0**64)) + 0.5
-    sample = chosen.where(hashed < rate).select(group, vec).toPandas()
+    d = space.d
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y = space.place(vectors(b.column(1), d))
+            ends = pa.array((np.arange(b.num_rows + 1) * y.shape[1]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(y.ravel()))], ["g", "y"])
+
+    sample = chosen.where(hashed < rate).select(group, vec).mapInArrow(project, "g long, y array<double>").toArrow()
+    keys = sample["g"].to_numpy()
+    y = vectors(sample["y"], len(sample["y"][0])) if len(keys) else np.zeros((0, space.place(np.zeros((1, d))).shape[1]))
+    order = np.argsort(keys, kind="stable")
+    keys, y = keys[order], y[order]
     out = {}
-    for key, part in sample.groupby(group):
-        out[int(key)] = Tree(np.stack(part[vec].to_numpy()).astype(float) @ image, -(-big[key] // leaf_rows))
+    for key, n in big.items():
+        lo, hi = np.searchsorted(keys, [key, key + 1])
+        out[int(key)] = Tree(y[lo:hi], -(-n // planned), -(-planned // leaf_rows))
     return out
 
 
-def leaves_of(keys: np.ndarray, y: np.ndarray, trees: dict[int, Tree]) -> np.ndarray:
+def leaves_of(keys: np.ndarray, y: np.ndarray, trees: dict[int, Tree], uid: np.ndarray) -> np.ndarray:
     out = np.zeros(len(keys), np.int64)
-    for key in np.unique(keys):
-        if (tree := trees.get(int(key))) is not None:
-            at = np.flatnonzero(keys == key)
-            out[at] = tree.leaf(y[at])
+    order = np.argsort(keys, kind="stable")
+    for s, e in runs(keys[order]):
+        at = order[s:e]
+        if (tree := trees.get(int(keys[at[0]]))) is not None:
+            out[at] = tree.leaf(y[at], uid[at])
     return out
 
 
@@ -170,18 +222,22 @@ def kd_order(y: np.ndarray, size: int) -> list[np.ndarray]:
 class Leaves:
     """A task's vectors in kd order, searched in growing steps from the nearest leaf outwards."""
 
-    def __init__(self, x: np.ndarray, uid: np.ndarray, g: np.ndarray, factor: float, size: int | None = None, digits: int | None = None) -> None:
+    factor = 1.0
+
+    def __init__(self, x: np.ndarray, uid: np.ndarray, y: np.ndarray | None = None, size: int | None = None, digits: int | None = None) -> None:
         size = size or (64 if x.shape[1] <= 3 else 512)
-        self.x, self.uid, self.factor, self.g, self.digits = x, uid, factor, g, digits
-        self.leaves = kd_order(x @ g, size) if len(x) else []
+        self.x, self.uid, self.y, self.digits = x, uid, x if y is None else y, digits
+        self.leaves = kd_order(self.y, size) if len(x) else []
         self.rank = np.empty(len(uid), np.int64)
         self.rank[np.argsort(uid, kind="stable")] = np.arange(len(uid))
         self.sq = (x**2).sum(axis=1)
-        y = x @ g
-        self.lo, self.hi = np.array([y[a].min(axis=0) for a in self.leaves]), np.array([y[a].max(axis=0) for a in self.leaves])
+        self.lo, self.hi = np.array([self.y[a].min(axis=0) for a in self.leaves]), np.array([self.y[a].max(axis=0) for a in self.leaves])
+
+    def place(self, q: np.ndarray) -> np.ndarray:
+        return q
 
-    def _verify(self, q: np.ndarray, cand: np.ndarray, k: int, skip: np.ndarray, worst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Entries among the candidates that may belong to the k nearest of the query rows."""
+    def _verify(self, q: np.ndarray, y: np.ndarray, cand: np.ndarray, k: int, skip: np.ndarray, worst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries among the candidates that may belong to the k nearest of the query rows (whose places are y)."""
         x = self.x[cand]
         if x.shape[1] <= 3:
             d2 = sum((q[:, j : j + 1] - x[:, j]) ** 2 for j in range(x.shape[1]))
@@ -205,7 +261,7 @@ class Leaves:
         none = (np.zeros(0, int), np.zeros(0), np.zeros(0, int))
         if not len(q) or not self.leaves:
             return none
-        y = q @ self.g
+        y = self.place(q)
         out = []
         for at in kd_order(y, 64 if q.shape[1] <= 3 else 512):
             rows = self._search(q[at], y[at], skip[at], k, np.full(len(at), np.inf) if within is None else within[at])
@@ -232,7 +288,7 @@ class Leaves:
             at, step = at + step, min(step * 2, 16)
             if len(take):
                 cand = np.concatenate([self.leaves[t] for t in take])
-                rows, dist, pos = self._verify(q[rows_live], cand, k, skip[rows_live], worst[rows_live])
+                rows, dist, pos = self._verify(q[rows_live], y[rows_live], cand, k, skip[rows_live], worst[rows_live])
                 best = _pick(np.concatenate([best[0], rows_live[rows]]), np.concatenate([best[1], dist]), np.concatenate([best[2], pos]), self.rank, k)
                 full = np.bincount(best[0], minlength=len(q)) >= k
                 last = np.full(len(q), -np.inf)
@@ -266,19 +322,19 @@ def _with_heads(n: int, found: tuple[np.ndarray, np.ndarray, np.ndarray], heads:
     return r[keep], d[keep], i[keep]
 
 
-def nearest_lists(distinct: DataFrame, image: np.ndarray, factor: float, k: int, leaf_rows: int = LEAF_ROWS, digits: int | None = None, others: bool = True) -> DataFrame:
+def nearest_lists(distinct: DataFrame, space: Space, k: int, leaf_rows: int = LEAF_ROWS, digits: int | None = None, others: bool = True) -> DataFrame:
     """(_g, _u, _near): for each distinct vector its k + 1 nearest ids, its own included, as (distance, id) in order. With ``others`` off only a
     vector's own leaf is searched, which is approximate."""
     spark = distinct.sparkSession
     cut = Cut(spark)
-    d, g, most = image.shape[0], image, k + 1
-    trees = group_trees(distinct, image, leaf_rows)
+    d, most = space.d, k + 1
+    trees = group_trees(distinct, space, leaf_rows)
     rows = distinct.count()
     shared = spark.sparkContext.broadcast(trees)  # at most MAX_LEAVES boxes
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaf = leaves_of(b.column("_g").to_numpy(), vectors(b.column("_v"), d) @ g, shared.value) if shared.value else np.zeros(b.num_rows, np.int64)
+            leaf = leaves_of(b.column("_g").to_numpy(), space.place(vectors(b.column("_v"), d)), shared.value, b.column("_u").to_numpy()) if shared.value else np.zeros(b.num_rows, np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf)], [*b.schema.names, "_leaf"])
 
     base = "_g long, _u long, _v array<double>, _heads array<bigint>"
@@ -294,7 +350,7 @@ def nearest_lists(distinct: DataFrame, image: np.ndarray, factor: float, k: int,
         keys, leaf, uid, x = t["_g"].to_numpy(), t["_leaf"].to_numpy(), t["_u"].to_numpy(), vectors(t["_v"], d)
         heads = [np.array(h, np.int64) for h in t["_heads"].to_pylist()]
         for s, e in runs(keys, leaf):
-            part = Leaves(x[s:e], uid[s:e], g, factor, digits=digits)
+            part = space.leaves(x[s:e], uid[s:e], digits)
             found = part.search(x[s:e], uid[s:e], k)
             order = np.lexsort((found[1], found[0]))
             found = tuple(f[order] for f in found)
@@ -305,7 +361,7 @@ def nearest_lists(distinct: DataFrame, image: np.ndarray, factor: float, k: int,
             full = count >= most
             limit[full] = dist[last[full]]
             tree = shared.value.get(int(keys[s]))
-            ask_r, ask_l = (np.zeros(0, int), np.zeros(0, int)) if tree is None else tree.near(x[s:e] @ g, factor * limit)
+            ask_r, ask_l = (np.zeros(0, int), np.zeros(0, int)) if tree is None else tree.near(space.place(x[s:e]), space.factor * limit)
             other = ask_l != leaf[s]
             ask_r, ask_l = ask_r[other], ask_l[other]
             asks = pa.ListArray.from_arrays(pa.array(np.searchsorted(ask_r, np.arange(e - s + 1)).astype(np.int32)), pa.array(ask_l.astype(np.int64)))
@@ -336,7 +392,7 @@ def nearest_lists(distinct: DataFrame, image: np.ndarray, factor: float, k: int,
             data_at, ask_at = s + np.flatnonzero(is_data[s:e]), s + np.flatnonzero(~is_data[s:e])
             if not len(data_at) or not len(ask_at):
                 continue
-            part = Leaves(x[data_at], uid[data_at], g, factor, digits=digits)
+            part = space.leaves(x[data_at], uid[data_at], digits)
             own = [np.array(h, np.int64) for h in heads.take(pa.array(data_at)).to_pylist()]
             for o in range(0, len(ask_at), 1 << 15):
                 at = ask_at[o : o + (1 << 15)]
@@ -363,15 +419,15 @@ def nearest_in(queries: DataFrame, base: DataFrame, d: int, k: int, leaf_rows: i
     """
     spark = queries.sparkSession
     cut = Cut(spark)
-    image = np.eye(d)
+    space = Space(d)
     stock = base.select(F.lit(0).cast("long").alias("_g"), "_u", "_v")
-    trees = group_trees(stock, image, leaf_rows)
+    trees = group_trees(stock, space, leaf_rows)
     shared = spark.sparkContext.broadcast(trees)  # at most MAX_LEAVES boxes
     n_base = stock.count()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaf = shared.value[0].leaf(vectors(b.column("_v"), d)) if shared.value else np.zeros(b.num_rows, np.int64)
+            leaf = shared.value[0].leaf(vectors(b.column("_v"), d), b.column("_u").to_numpy()) if shared.value else np.zeros(b.num_rows, np.int64)
             yield pa.RecordBatch.from_arrays([b.column("_u"), b.column("_v"), pa.array(leaf)], ["_u", "_v", "_leaf"])
 
     placed = stock.select("_u", "_v").mapInArrow(place, "_u long, _v array<double>, _leaf long").withColumn("_limit", F.lit(None).cast("double"))
@@ -385,7 +441,7 @@ def nearest_in(queries: DataFrame, base: DataFrame, d: int, k: int, leaf_rows: i
         is_ask = ~np.isnan(limit)
         for s, e in runs(leaf):
             data, ask = s + np.flatnonzero(~is_ask[s:e]), s + np.flatnonzero(is_ask[s:e])
-            part = Leaves(x[data], uid[data], image, 1.0)
+            part = Leaves(x[data], uid[data])
             for o in range(0, len(ask), 1 << 15):
                 at = ask[o : o + (1 << 15)]
                 r, dist, pos = part.search(x[at], uid[at], k, limit[at])
