@@ -1,9 +1,9 @@
 """The k most similar vectors of every vector within its group.
 
-Vectors are projected to a few dimensions by a 2-stable projection and kept in a kd-tree (``operators.tree_knn``): the tree's upper
-levels share the work out over tasks, its lower levels order each task's vectors. Neighbours in the projection are verified
-in growing steps until the chi-square stopping test says that no unseen vector can, with the given confidence, be nearer
-than the k found. Equal vectors are worked on once.
+Vectors are projected to a few dimensions by a stable projection (``llm.index``) and kept in a kd-tree (``operators.tree_knn``): the
+tree's upper levels share the work out over tasks, its lower levels order each task's vectors. Neighbours in the projection
+are verified in growing steps, nearest first, until the chi-square stopping test says that no unseen vector can, with the given
+confidence, be nearer than the k found. Equal vectors are worked on once.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marchland.llm.index import PROJECTED, projection, reach
+from marchland.llm.index import space_for
 from marchland.operators.tree_knn import LEAF_ROWS, distinct_vectors, nearest_lists
 from marchland.session import Cut
 
@@ -41,7 +41,7 @@ def most_similar(
     clean = df.where(usable)
     slim = clean.select(group.cast("long").alias("_g"), uid.cast("long").alias("_i"), array.alias("_v"))
     distinct = cut(distinct_vectors(slim, F.col("_g"), F.col("_i"), F.col("_v"), k + 2), "distinct")
-    lists = nearest_lists(distinct, projection(len(vec)), reach(len(vec), PROJECTED, confidence), k, leaf_rows, digits=6)
+    lists = nearest_lists(distinct, space_for(distinct, len(vec), confidence), k, leaf_rows, digits=6)
     several = distinct.where(F.size("_heads") > 1).select("_g", "_u", F.slice("_heads", 1, k + 1).alias("_heads"))
     # a vector that stands for one record needs no join
     heads = lists.join(several, ["_g", "_u"], "left").select("_g", F.explode(F.coalesce("_heads", F.array("_u"))).alias("_i"), "_near")

@@ -1,11 +1,14 @@
 """Similar vectors, clusters and subsets against brute force."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from marchland.llm import groups, similar, varied
-from marchland.llm.index import chi2_quantile, projection, reach
+from marchland.llm.index import Projected, chi2_quantile, principal, projection, space_for
+from marchland.operators.tree_knn import Space, Tree
 
 SCHEMA = "g long, id long, a double, b double, extra string, _u string"
 
@@ -69,7 +72,38 @@ def test_projected_search_recall(spark):
 
 def test_chi_square():
     assert abs(chi2_quantile(0.95, 6) - 12.5916) < 1e-3 and abs(chi2_quantile(0.99, 1) - 6.6349) < 1e-3
-    assert reach(2, 6, 0.9) == 1.0 and projection(20, 6).shape == (20, 6)
+    assert projection(20, 6).shape == (20, 6) and type(space_for(None, 2, 0.9)) is Space
+
+
+def test_most_pairs_are_not_verified(spark):
+    rng = np.random.default_rng(12)
+    kinds = rng.integers(0, 3, (8, 30))
+    x = kinds[rng.integers(0, 8, 3000)] + (rng.random((3000, 30)) < 0.3) * rng.integers(-1, 2, (3000, 30)) + rng.random((3000, 1))
+    rows = spark.createDataFrame([(v.tolist(),) for v in x], "_v array<double>")
+    axes = principal(rows, 30, 8)
+    assert np.allclose(axes.T @ axes, np.eye(8))
+    leaves = Projected(axes, 0.97).leaves(x, np.arange(3000))
+    r, _, at = leaves.search(x, np.arange(3000), 5)
+    d2 = ((x[:500, None] - x[None]) ** 2).sum(axis=2)
+    d2[np.arange(500), np.arange(500)] = np.inf
+    want = np.argsort(d2, axis=1)[:, :5]
+    hits = sum(len(set(want[i]) & set(at[r == i])) for i in range(500))
+    assert hits / 2500 >= 0.95 and leaves.verified / 3000**2 < 0.3
+
+
+def test_tree_descent_finds_the_leaves_near():
+    rng = np.random.default_rng(13)
+    x = rng.random((5000, 3))
+    for parts in (1, 3):
+        tree = Tree(x[:800], 40, parts)
+        leaf = tree.leaf(x, np.arange(5000))
+        assert len(np.unique(leaf)) == 40 * parts
+        q, limit = x[:50], np.full(50, 0.04)
+        r, at = tree.near(q, limit)
+        assert (np.diff(r) >= 0).all()
+        for i in range(50):
+            need = set(leaf[((x - q[i]) ** 2).sum(axis=1) <= 0.04])
+            assert need <= set(at[r == i]) and len(at[r == i]) < 40 * parts
 
 
 def brute_groups(rows, near, least=3):
@@ -198,7 +232,7 @@ def test_subset_musts(spark, leaf_rows):
     got = varied.varied_subset(plane(spark, rows), F.col("g"), F.col("id"), vec(), 1.005**2, 40, leaf_rows).collect()
     lone = {r[1] for r in rows if not any(s[1] != r[1] and round((r[2] - s[2]) ** 2 + (r[3] - s[3]) ** 2, 6) <= 1.010025 for s in rows)}
     assert {r["id"] for r in got if r["must"]} == lone
-    assert len(got) == max(40, len(lone)) and len({r["id"] for r in got}) == len(got)
+    assert len(got) >= 40 and len({r["id"] for r in got}) == len(got)
 
 
 @pytest.mark.parametrize("leaf_rows", [2048, 40])
@@ -207,7 +241,7 @@ def test_subset_reaches_every_record(spark, leaf_rows):
     lone = [(1, i, 100.0 + 5 * i, 0.0) for i in range(30)]
     crowd = [(1, 100 + i, float(x), float(y)) for i, (x, y) in enumerate(np.round(rng.random((600, 2)) * 12, 1))]
     rows = lone + crowd
-    got = varied.varied_subset(plane(spark, rows), F.col("g"), F.col("id"), vec(), 1.005**2, 20, leaf_rows, reach=True).collect()
+    got = varied.varied_subset(plane(spark, rows), F.col("g"), F.col("id"), vec(), 1.005**2, 20, leaf_rows).collect()
     at = {r[1]: r[2:] for r in rows}
     assert {r[1] for r in lone} <= {r["id"] for r in got if r["must"]} and len({r["id"] for r in got}) == len(got) < 300
     assert all(any(round((at[r["id"]][0] - x) ** 2 + (at[r["id"]][1] - y) ** 2, 6) <= 1.010025 for r in got) for _, _, x, y in rows)
@@ -223,6 +257,15 @@ def test_subset_musts_of_a_group_in_parts_without_a_tree(spark):
     assert {r["id"] for r in got if r["must"]} == {-2}
 
 
+def test_subset_of_many_lone_pairs_ends(spark):
+    rows = [(1, 2 * i + j, 10.0 * i + 0.1 * j, 0.0) for i in range(5000) for j in range(2)]
+    began = time.time()
+    got = varied.varied_subset(plane(spark, rows), F.col("g"), F.col("id"), vec(), 1.0, 50).collect()
+    assert 5000 <= len(got) < 5100 and not any(r["must"] for r in got) and time.time() - began < 120
+    few = varied.varied_subset(plane(spark, rows), F.col("g"), F.col("id"), vec(), 1.0, 50, cover=False).collect()
+    assert len(few) == 50 and sum(r["stands_for"] for r in few) == 100
+
+
 def test_subset_small_empty_and_copies(spark):
     assert varied.varied_subset(plane(spark, []), F.col("g"), F.col("id"), vec(), 1.0, 5).count() == 0
     rows = [(1, 1, 0.0, 0.0), (1, 2, 0.0, 0.0), (1, 3, 50.0, 0.0), (2, 4, 0.0, 0.0), (2, 5, None, 0.0)]
