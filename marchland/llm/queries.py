@@ -62,19 +62,15 @@ def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
 SUBSET_SIZE = 50
 
 
-def _subsets(spark: SparkSession, d: str, reach: bool) -> DataFrame:
-    a = varied.varied_subset(usable_ds6(spark, d), F.col("set_no"), F.col("point_id"), _ds6_vec(), 1.005**2, SUBSET_SIZE, reach=reach)
-    b = varied.varied_subset(usable_skin(spark, d), F.col("batch"), F.col("rec_id"), _skin_vec(), 60.0, SUBSET_SIZE, reach=reach)
-    return a.withColumn("src", F.lit("ds6")).unionByName(b.withColumn("src", F.lit("dermatology"))).select("src", "group", F.col("id").alias("rec_id"), "must", "stands_for")
-
-
 def p6_subset(spark: SparkSession, d: str) -> DataFrame:
-    return _subsets(spark, d, True)
+    a = varied.varied_subset(usable_ds6(spark, d), F.col("set_no"), F.col("point_id"), _ds6_vec(), 1.005**2, SUBSET_SIZE)
+    b = varied.varied_subset(usable_skin(spark, d), F.col("batch"), F.col("rec_id"), _skin_vec(), 60.0, SUBSET_SIZE)
+    return a.withColumn("src", F.lit("ds6")).unionByName(b.withColumn("src", F.lit("dermatology"))).select("src", "group", F.col("id").alias("rec_id"), "must", "stands_for")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Only the musts, which don't depend on the others."""
-    return _subsets(spark, d, False).where("must").select("src", "rec_id")
+    """Those of the subset's records whose coverage no other record gives."""
+    return p6_subset(spark, d).where("must").select("src", "rec_id")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
