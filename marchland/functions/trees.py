@@ -44,40 +44,43 @@ def morton(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
 
 
 class BoxTree:
-    """Boxes over consecutive runs of the (already space-ordered) coordinates ``xyz`` (axes × n); level 0 are the leaves."""
+    """Boxes over consecutive runs of points that are in space order; level 0 are the leaves."""
 
-    def __init__(self, xyz: np.ndarray) -> None:
-        self.n = xyz.shape[1]
-        self.xyz = xyz
-        lo, hi = self._pack(xyz, xyz, LEAF)
+    def __init__(self, lat: np.ndarray, lon: np.ndarray) -> None:
+        self.n, self.lat, self.lon = len(lat), lat, lon
+        self.xyz = on_sphere(lat, lon)
+        lo, hi = self._pack(self.xyz, self.xyz, LEAF)
         self.lo, self.hi = [lo], [hi]
         while self.lo[-1].shape[1] > FAN:
-            lo, hi = self._pack(self.lo[-1], self.hi[-1], FAN)
-            self.lo.append(lo)
-            self.hi.append(hi)
+            self.raise_()
+
+    def raise_(self) -> None:
+        lo, hi = self._pack(self.lo[-1], self.hi[-1], FAN)
+        self.lo.append(lo)
+        self.hi.append(hi)
 
     @staticmethod
     def _pack(lo: np.ndarray, hi: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.arange(0, lo.shape[1], width)
         return np.minimum.reduceat(lo, at, axis=1), np.maximum.reduceat(hi, at, axis=1)
 
-    def gaps(self, level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest squared distance between the boxes of node pairs."""
-        lo, hi = self.lo[level], self.hi[level]
-        near, far = np.zeros(len(i)), np.zeros(len(i))
-        for k in range(lo.shape[0]):
-            a, b = lo[k][i], hi[k][i]
-            c, d = lo[k][j], hi[k][j]
-            near += np.maximum(0, np.maximum(c - b, a - d)) ** 2
-            far += np.maximum(b - c, d - a) ** 2
-        return near, far
+
+def _gaps(one: BoxTree, two: BoxTree, level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest squared distance between the boxes of node pairs."""
+    near, far = np.zeros(len(i)), np.zeros(len(i))
+    for k in range(3):
+        a, b = one.lo[level][k][i], one.hi[level][k][i]
+        c, d = two.lo[level][k][j], two.hi[level][k][j]
+        near += np.maximum(0, np.maximum(c - b, a - d)) ** 2
+        far += np.maximum(b - c, d - a) ** 2
+    return near, far
 
 
-def _products(tree: BoxTree, level: int, i: np.ndarray, j: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _products(one: BoxTree, two: BoxTree, level: int, i: np.ndarray, j: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All member pairs of disjoint node pairs, in chunks."""
     width = LEAF * FAN**level
     si, sj = i * width, j * width
-    ni, nj = np.minimum(width, tree.n - si), np.minimum(width, tree.n - sj)
+    ni, nj = np.minimum(width, one.n - si), np.minimum(width, two.n - sj)
     sizes = ni * nj
     cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=0)) if len(sizes) else []
     for part in np.split(np.arange(len(sizes)), cuts):
@@ -88,40 +91,53 @@ def _products(tree: BoxTree, level: int, i: np.ndarray, j: np.ndarray, most: int
         yield si[k] + offset // nj[k], sj[k] + offset % nj[k]
 
 
-def near_pairs(lat: np.ndarray, lon: np.ndarray, radius_m: float, tree: BoxTree, chunk: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of all pairs within the radius, by dual descent: impossible node pairs are discarded, node pairs that are
-    certainly near are taken wholesale, and what stays uncertain is refined down to the leaves' points."""
+def near_pairs(one: BoxTree, two: BoxTree | None, radius_m: float, chunk: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs within the radius, one of each tree, or of the first alone if there is no second. Dual descent:
+    impossible node pairs are discarded, node pairs that are certainly near are taken wholesale, and what stays uncertain is
+    refined down to the leaves' points."""
+    same = two is None
+    two = one if same else two
+    while len(one.lo) < len(two.lo):
+        one.raise_()
+    while len(two.lo) < len(one.lo):
+        two.raise_()
     limit = chord(radius_m) ** 2
     sure, maybe = limit * (1 - 1e-6), limit * (1 + 1e-6) + 1e-9
-    top = len(tree.lo) - 1
-    i, j = np.triu_indices(tree.lo[top].shape[1])
+    top = len(one.lo) - 1
+    n, m = one.lo[top].shape[1], two.lo[top].shape[1]
+    i, j = np.triu_indices(n) if same else (np.repeat(np.arange(n), m), np.tile(np.arange(m), n))
     kids = np.arange(FAN)
     for level in range(top, -1, -1):
-        near, far = tree.gaps(level, i, j)
+        near, far = _gaps(one, two, level, i, j)
         keep = near <= maybe
-        whole = keep & (far <= sure) & (i != j) & (LEAF * FAN**level <= WHOLESALE)
-        yield from _products(tree, level, i[whole], j[whole])
+        whole = keep & (far <= sure) & (LEAF * FAN**level <= WHOLESALE)
+        if same:
+            whole &= i != j
+        yield from _products(one, two, level, i[whole], j[whole])
         rest = keep & ~whole
         i, j = i[rest], j[rest]
         if level:
-            n = tree.lo[level - 1].shape[1]
             ci = np.repeat(i[:, None] * FAN + kids, FAN, axis=1).ravel()
             cj = np.tile(j[:, None] * FAN + kids, (1, FAN)).ravel()
-            ok = (ci < n) & (cj < n) & (ci <= cj)
+            ok = (ci < one.lo[level - 1].shape[1]) & (cj < two.lo[level - 1].shape[1])
+            if same:
+                ok &= ci <= cj
             i, j = ci[ok], cj[ok]
     slots = np.arange(LEAF)
     for s in range(0, len(i), chunk):
         a = np.repeat(i[s : s + chunk, None] * LEAF + slots, LEAF, axis=1).ravel()
         b = np.tile(j[s : s + chunk, None] * LEAF + slots, (1, LEAF)).ravel()
-        ok = (a < b) & (b < tree.n)
+        ok = (a < one.n) & (b < two.n)
+        if same:
+            ok &= a < b
         a, b = a[ok], b[ok]
-        d2 = ((tree.xyz[:, a] - tree.xyz[:, b]) ** 2).sum(axis=0)
+        d2 = ((one.xyz[:, a] - two.xyz[:, b]) ** 2).sum(axis=0)
         ok = d2 <= maybe
         a, b, d2 = a[ok], b[ok], d2[ok]
         edge = d2 > sure
         if edge.any():
             inside = ~edge
-            inside[edge] = arc(lat[a[edge]], lon[a[edge]], lat[b[edge]], lon[b[edge]]) <= radius_m
+            inside[edge] = arc(one.lat[a[edge]], one.lon[a[edge]], two.lat[b[edge]], two.lon[b[edge]]) <= radius_m
             a, b = a[inside], b[inside]
         yield a, b
 
@@ -188,6 +204,35 @@ class Region:
         return out
 
 
+class Regions:
+    """Regions in order of preference; one is built when points first lie in its box."""
+
+    def __init__(self, ids: np.ndarray, rings: list[list[np.ndarray]]) -> None:
+        self.ids, self.rings = ids, rings
+        self.boxes = np.array([[r[0][:, 0].min(), r[0][:, 1].min(), r[0][:, 0].max(), r[0][:, 1].max()] for r in rings]).reshape(-1, 4)
+        self._built: dict[int, Region] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_built": {}}
+
+    def region(self, k: int) -> Region:
+        if k not in self._built:
+            self._built[k] = Region(int(self.ids[k]), self.rings[k])
+        return self._built[k]
+
+    def first(self, x: np.ndarray, y: np.ndarray, width: int = LEAF * FAN, chunk: int = 4096) -> np.ndarray:
+        """Place of the first region that holds each point, -1 if none does. Points should be in space order: only regions
+        whose box meets that of a chunk of them are looked at."""
+        found = np.full(len(x), -1)
+        for s in range(0, len(x), chunk):
+            px, py = x[s : s + chunk], y[s : s + chunk]
+            meets = (self.boxes[:, 0] <= px.max()) & (self.boxes[:, 2] >= px.min()) & (self.boxes[:, 1] <= py.max()) & (self.boxes[:, 3] >= py.min())
+            at = np.flatnonzero(meets)
+            part = first_region(px, py, [self.region(k) for k in at], width)
+            found[s : s + chunk] = np.where(part >= 0, at[part] if len(at) else -1, -1)
+        return found
+
+
 def first_region(x: np.ndarray, y: np.ndarray, regions: list[Region], width: int = LEAF * FAN) -> np.ndarray:
     """Position in ``regions`` (ordered by preference) of the first one that holds each point, -1 if none does.
 

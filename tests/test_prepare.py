@@ -15,13 +15,15 @@ CASES = [
     ("BreastCancer-1.csv", ' 1 ,"2",03, 4.0,5,6,?,8.00,9,10,"1"', None, None),
     ("BreastCancer-1.csv", "1,2,3,4,5,6,,8,9,10,2", None, None),
     ("BreastCancer-1.csv", '1,2,3,4,5,6,"",8,9,10,2', None, None),
+    ("BreastCancer-1.csv", "1,2,3,4,5,6, ?,8,9,10,2", None, None),
     ("Dermatology-1.csv", GOOD_D, None, None),
     ("Dermatology-1.csv", GOOD_D.replace("40", "?"), None, None),
     ("BreastCancer-1.csv", "1,2,3,4,5,6,7,8,9,10", "field_count", "c10"),
     ("BreastCancer-1.csv", GOOD_B + ",2", "field_count", "end_of_line"),
     ("BreastCancer-1.csv", GOOD_B + "\r\r", "invalid_value", "c10"),
     ("BreastCancer-1.csv", "1,2,3,4,5,6,11,8,9,10,2", "invalid_value", "c6"),
-    ("BreastCancer-1.csv", "1,2,3,4,5,6, ?,8,9,10,2", "invalid_value", "c6"),
+    ("BreastCancer-1.csv", "1,2,3,4,5,6,??,8,9,10,2", "invalid_value", "c6"),
+    ("BreastCancer-1.csv", "1,2,3,4,5,\t?,7,8,9,10,2", "invalid_value", "c5"),
     ("BreastCancer-1.csv", '1,2,3,4,5,6,"7,8,9,10,2', "broken_quotes", "c6"),
     ("BreastCancer-1.csv", '1,2,3,4,5,6,"7"x,8,9,10,2', "broken_quotes", "c6"),
     ("BreastCancer-1.csv", '1,2,3,4,5,6,"7,5",8,9,10,2', "invalid_value", "c6"),
@@ -45,7 +47,7 @@ def test_lines(spark):
     got = {r["line_id"]: (r["reason"], r["broken_field"]) for r in badrows.bad_lines(df).collect()}
     assert got == {i: (reason, field) for i, (_, _, reason, field) in enumerate(CASES) if reason}
     rows = badrows.typed_rows(df, "BreastCancer").orderBy("line_id").collect()
-    assert [r["line_id"] for r in rows] == [0, 1, 2, 3, 4] and rows[2]["c3"] == 4 and rows[2]["c6"] is None and rows[0]["c10"] == 2
+    assert [r["line_id"] for r in rows] == [0, 1, 2, 3, 4, 5] and rows[2]["c3"] == 4 and rows[2]["c6"] is None and rows[0]["c10"] == 2
     assert badrows.bad_lines(df.limit(0)).count() == 0
 
 
@@ -91,13 +93,22 @@ def square(x, y, s):
 REGIONS = "objectid long, shape_area double, coordinates array<array<array<double>>>"
 
 
-@pytest.mark.parametrize("block", [spatial.REGION_BYTES, 1])
-def test_regions(spark, block, monkeypatch):
-    monkeypatch.setattr(spatial, "REGION_BYTES", block)
-    monkeypatch.setattr(spatial.read_regions, "__defaults__", (block,))
+def test_hot_place_is_cut_into_chunks(spark):
+    rows = [(i, 30.0, 110.0, "") for i in range(1000)] + [(2000 + i, 30.0002, 110.0, "") for i in range(50)]
+    df = spark.createDataFrame(rows, POINTS)
+    assert spatial.dual_tree_join(df, 50.0, tile_rows=100).count() == 1050 * 1049 // 2
+    slim = df.selectExpr("pt_id AS _id", "lat AS _lat", "lon AS _lon")
+    tiled, _ = spatial._tiled(slim, 50.0, 0.05, 100)
+    sizes = [r["count"] for r in tiled.groupBy("_tile").count().collect()]
+    chunks = 11
+    assert max(sizes) <= 300 and sum(sizes) == 1050 * chunks
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_regions(spark, most):
     regions = [(1, 100.0, [square(0, 0, 10), square(4, 4, 2)]), (2, 1.0, [square(8, 8, 4)]), (3, None, [square(0, 0, 20)]), (4, 5.0, None), (5, 5.0, [[[0.0, 0.0], [1.0, 1.0]]]), (1, 100.0, [square(0, 0, 10), square(4, 4, 2)])]
     points = [(1, 1.0, 1.0, ""), (2, 5.0, 5.0, ""), (3, 9.0, 9.0, ""), (4, 15.0, 15.0, ""), (5, 50.0, 50.0, ""), (1, 1.0, 1.0, "")]
-    got = spatial.dual_tree_join(spark.createDataFrame(points, POINTS), None, spark.createDataFrame(regions, REGIONS)).collect()
+    got = spatial.dual_tree_join(spark.createDataFrame(points, POINTS), None, spark.createDataFrame(regions, REGIONS), shared_vertices=most).collect()
     assert {(r["kind"], r["a_id"], r["b_id"]) for r in got} == {("within", 1, 1), ("within", 3, 2), ("within", 2, 3), ("within", 3, 4)}
 
 
