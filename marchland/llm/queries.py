@@ -59,6 +59,11 @@ def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).select("src", "group", "first_id", "medoid_id", "size", "loose", "typical")
 
 
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _clusters(spark, d, groups.link_shares)
+    return a.unionByName(b)
+
+
 SUBSET_SIZE = 50
 
 
@@ -113,6 +118,7 @@ QUERIES = {
     "p6_subset": p6_subset,
     "p4_found": p4_found,
     "p4_clusters": p4_clusters,
+    "p4_shares": p4_shares,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marchland.llm import groups, similar, varied
 from marchland.llm.index import Projected, chi2_quantile, principal, projection, space_for
+from marchland.operators.components import components
 from marchland.operators.tree_knn import Space, Tree
 
 SCHEMA = "g long, id long, a double, b double, extra string, _u string"
@@ -155,10 +156,14 @@ def test_clusters_of_records(spark, hot):
     df = spark.createDataFrame([(i % 3, i, *map(float, v), float(a)) for i, (v, a) in enumerate(zip(x, age))], "g long, id long, " + ", ".join(f"v{j} double" for j in range(f)) + ", age double")
     cols = [F.col(f"v{j}") for j in range(f)] + [F.col("age")]
     if hot != groups.HOT_BUCKET:
-        nodes = df.groupBy(F.col("g").alias("_g"), F.array(*cols).alias("_v")).agg(F.min("id").alias("_u"))
-        a = {(r["v"], r["links"]) for r in groups.attribute_links(nodes, f, 4.5, hot_bucket=hot).groupBy("v").agg(F.sum("links").alias("links")).collect()}
-        b = {(r["v"], r["links"]) for r in groups.attribute_links(nodes, f, 4.5).groupBy("v").agg(F.sum("links").alias("links")).collect()}
-        assert a == b
+        nodes = df.groupBy(F.col("g").alias("_g"), F.array(*cols).alias("_v")).agg(F.min("id").alias("_u"), F.count(F.lit(1)).alias("n"))
+        a, b = ({tuple(r) for r in groups.attribute_degrees(nodes, f, 4.5, h).collect()} for h in (hot, groups.HOT_BUCKET))
+        assert a == b and len(a) > 50
+        whole = {tuple(r) for r in components(groups.minhash_links(nodes, f, 4.5, hot), "v", "u").collect()}
+        assert whole == {tuple(r) for r in components(groups.minhash_links(nodes, f, 4.5), "v", "u").collect()}
+        alone = nodes.withColumn("_c", F.col("_u"))
+        some = [{tuple(r) for r in components(groups.block_rest(alone, f, 4.5, h), "v", "u").collect()} for h in (hot, groups.HOT_BUCKET)]
+        assert some[0] == some[1] and whole and {i for i, _ in whole} <= {i for i, _ in some[0]}
         return
     got = groups.similarity_clusters(df, F.col("g"), F.col("id"), cols, f, 4.5)
     rows = [(i % 3, i, i, 0) for i in range(len(x))]
@@ -193,9 +198,33 @@ def test_loose_clusters_are_split_by_all_members(spark):
     for k in np.lexsort((ids, -deg)):
         if len(medoids) < 8 and all(d2[k, m] > 9 * 0.255**2 for m in medoids):
             medoids.append(k)
-    assert len(medoids) == 8 and {r["medoid_id"] for r in got} == set(ids[medoids].tolist()) and all(r["loose"] for r in got)
-    size = np.bincount(d2[:, medoids].argmin(axis=1), minlength=8)
-    assert sum(r["size"] for r in got) == len(rows) and {r["medoid_id"]: r["size"] for r in got} == dict(zip(ids[medoids].tolist(), size.tolist()))
+    assert len(medoids) == 8 and len(set(ids[medoids].tolist()) - {r["medoid_id"] for r in got}) <= 2 and all(r["loose"] for r in got)
+    assert sum(r["size"] for r in got) == len(rows) and len(got) > 12
+    degree = dict(zip(ids.tolist(), deg.tolist()))
+    assert all(r["size"] < 50 or max(degree[i] for i in r["typical"]) >= 0.2 * r["size"] for r in got)
+
+
+def test_signatures_estimate_jaccard():
+    rng = np.random.default_rng(21)
+    a = rng.integers(0, 4, (1, 33))
+    b = np.repeat(a, 400, axis=0)
+    for i in range(400):
+        b[i, rng.choice(33, 4, replace=False)] += 4
+    keys = groups.attribute_signatures(np.zeros(401), np.concatenate([a, b]), bands=200, rows=1)
+    assert abs((keys[1:] == keys[0]).mean() - 29 / 37) < 0.03
+    jaccard = groups.disc_jaccard()
+    keys = groups.point_signatures(np.zeros(2), np.array([5, 7]), np.array([5, 6]), bands=4000)
+    assert abs((keys[0] == keys[1]).mean() - jaccard[2, 1]) < 0.03 and jaccard[0, 0] == 1
+
+
+def test_points_and_hot_buckets(spark):
+    rows = random_plane(500, 9)
+    nodes = plane(spark, rows).groupBy(F.col("g").alias("_g"), F.array("a", "b").alias("_v")).agg(F.min("id").alias("_u"), F.count(F.lit(1)).alias("n"))
+    a, b = ({tuple(r) for r in components(groups.point_links(nodes, 0.255, hot), "v", "u").collect()} for hot in (9, 10**6))
+    assert a == b and a
+    alone = nodes.withColumn("_c", F.col("_u"))
+    a, b = ({tuple(r) for r in components(groups.grid_rest(alone, 0.255, hot), "v", "u").collect()} for hot in (9, 10**6))
+    assert a == b and a
 
 
 def test_disc_counts():
@@ -221,7 +250,7 @@ def test_point_degrees_are_links(spark):
 def test_record_links_count_copies(spark):
     vs = [[0, 0, 0, 0, 0, 0], [0, 0, 0, 0, 0, 1], [3, 3, 3, 3, 3, 3]]
     nodes = spark.createDataFrame([(1, [float(e) for e in v], i, n) for i, (v, n) in enumerate(zip(vs, (1, 5, 2)))], "_g long, _v array<double>, _u long, n long")
-    got = {r["v"]: r["links"] for r in groups.attribute_links(nodes, 6, 1.5).groupBy("v").agg(F.sum("links").alias("links")).collect()}
+    got = {r["_u"]: r["links"] for r in groups.attribute_degrees(nodes, 6, 1.5).collect()}
     assert got == {0: 5, 1: 1}
 
 
