@@ -1,8 +1,11 @@
 """Statistics of each text, and which texts are no natural prose but lists, tables or junk.
 
-The statistics are built-in expressions over the whole text. Weak labels come from plain rules on them (texts the rules are
-unsure of get none); gradient-boosted trees are trained on a bounded sample of weakly labelled texts and turn the statistics
-into a score, and the hand-checked texts of ``quality_holdout`` calibrate the score to a probability.
+The statistics come from one scan of the whole text (``llm.text_scan``). Weak labels come from independent voters that abstain
+where they know nothing: function words, repetition, damaged or symbolic characters, the layout of lines, the rhythm of
+sentences; texts they don't agree on get no label. Gradient-boosted trees are trained on a bounded sample of labelled texts.
+They don't see the voters' lists of words, only statistics of characters, lines, words and sentences that no language is
+needed for, so they also judge texts the voters abstain on. One half of the hand-checked texts of ``quality_holdout``
+calibrates the score to a probability; the other half is kept for reports.
 """
 
 from __future__ import annotations
@@ -13,152 +16,86 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from marchland.llm.quality_holdout import HOLDOUT
-from marchland.session import Cut, spread
+from marchland.llm.text_scan import ALL, FEATURES, scan
+from marchland.session import spread
 
 MAX_TRAIN_ROWS = 20_000
+SCAN_CHARS = 1_000_000
+#: Hand-checked texts that calibrate, and those that are kept for reports.
+CALIBRATION, REPORT = HOLDOUT[::2], HOLDOUT[1::2]
 
-#: Function words of English, German, Spanish and French; none of them is made of the letters a-f only (hex dumps) or common in
-#: navigation and traces ("at", "in", "to").
-FUNCTION_WORDS = (
-    "the of and that was were are which this these those with not but because when where who had have been its than then such "
-    "there their they we you he she his her our will would could does did over under between without while about after before "
-    "nobody still only even though although since once both for from how why what must until all one "
-    "der die das und ist nicht ein eine einen mit auf für von dem den des wurde wurden war waren sich auch als nur bei wir wird sind "
-    "haben hat aber doch weil dass obwohl deshalb wenn man zwischen während nach noch "
-    "el la los las que un una por con para fue era su más pero como sin entre cuando muy todo porque aunque después está del ya "
-    "le les des du et est une dans pour qui sur avec pas plus mais nous sont était ont cette car aux lorsque alors entre très sous quand chez après"
-).split()
-
-
-def _branches(words: list[str]) -> str:
-    """An alternation that shares prefixes, so that a word is left after its first letters."""
-    heads: dict[str, list[str]] = {}
-    for w in words:
-        heads.setdefault(w[:1], []).append(w[1:])
-    ends = heads.pop("", None) is not None
-    inner = "|".join(h + _branches(rest) for h, rest in sorted(heads.items()))
-    return f"(?:{inner})?" if ends and inner else f"(?:{inner})" if len(heads) > 1 else inner
-
-
-_WORDS = "(?<!\\p{L})" + _branches(sorted(set(FUNCTION_WORDS))) + "(?!\\p{L})"
-#: Characters that Chinese sentences can hardly do without.
-_HAN = "[的了是在和有这们把被因但如很就]"
-FUNCTION = f"{_WORDS}|{_HAN}"
-#: A Han character, or a run of other letters and digits.
-WORD = "\\p{IsHan}|[\\p{L}\\p{N}&&[^\\p{IsHan}]]+"
-#: Signs of damaged words: symbols, digits or question marks inside of words, and UTF-8 read as another encoding.
-BROKEN = "\\p{L}[#*|%~&_^□�@$+<>\\\\]|[#*|%~&^□�]\\p{L}|[a-zà-ÿ][0-9][a-zà-ÿ]|[a-zà-ÿ][?¿][a-zà-ÿ]|[à-ÿÃÂ][¡-¿€‚„†‡ˆ‰‹‘’“”•™�\\x{80}-\\x{a0}]"
-#: Characters of text that one function word accounts for.
-SPAN = 40
-#: Words of a run that is looked for elsewhere in the text.
-RUN = 5
-
-FEATURES = (
-    "n_words", "mean_word_length", "letter_share", "digit_share", "space_share", "symbol_share", "odd_share", "upper_share", "n_lines", "mean_line_length", "lines_ended_share",
-    "bullet_share", "common_word_share", "prose_share", "broken_word_share", "phrase_share", "word_share", "distinct_words", "distinct_word_share", "distinct_line_share", "separator_share", "repeated_share",
-)
-
-
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("double")
-
-
-@F.pandas_udf(DoubleType())
-def _repeated(words: pd.Series) -> pd.Series:
-    """The share of the letters and digits of each text that lies in runs of RUN words that occur three times or more."""
-
-    def share(ws: np.ndarray | None) -> float:
-        if ws is None or len(ws) < RUN + 2:
-            return 0.0
-        number: dict[str, int] = {}
-        code = np.array([number.setdefault(w, len(number)) for w in ws], np.uint64)
-        run = np.zeros(len(ws) - RUN + 1, np.uint64)
-        for i in range(RUN):
-            run = run * np.uint64(0x9E3779B97F4A7C15) + code[i : i + len(run)] + np.uint64(1)
-        _, at, count = np.unique(run, return_inverse=True, return_counts=True)
-        inside = np.zeros(len(ws), bool)
-        for i in range(RUN):
-            inside[i : i + len(run)] |= count[at] >= 3
-        size = np.array([len(w) for w in ws])
-        return float(size[inside].sum() / size.sum())
-
-    return pd.Series([share(ws) for ws in words], dtype="float64")
+
+def scan_column(column: pa.Array) -> dict[str, np.ndarray]:
+    """The statistics of a column of texts, NaN for null ones; as many texts at a time as have about SCAN_CHARS characters."""
+    texts = column.to_pylist()
+    there = [i for i, t in enumerate(texts) if t is not None]
+    out = {c: np.full(len(texts), np.nan) for c in ("n_chars", *ALL)}
+    at = 0
+    while at < len(there):
+        end, chars = at, 0
+        while end < len(there) and (end == at or chars + len(texts[there[end]]) <= SCAN_CHARS):
+            chars += len(texts[there[end]])
+            end += 1
+        for c, v in scan([texts[i] for i in there[at:end]]).items():
+            out[c][there[at:end]] = v
+        at = end
+    return out
+
+
+def _as_arrays(values: dict[str, np.ndarray]) -> list[pa.Array]:
+    missing = np.isnan(values["n_chars"])
+    chars = pa.array(np.where(missing, 0, values["n_chars"]).astype(np.int64), mask=missing)
+    return [chars, *[pa.array(values[c], mask=missing) for c in ALL]]
+
+
+_STATISTICS = [StructField("n_chars", LongType()), *[StructField(c, DoubleType()) for c in ALL]]
 
 
 def text_statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The ``keep`` columns, ``n_chars`` and FEATURES of each row's text; a null text has nulls, an empty or blank one zeros.
+    """The ``keep`` columns, ``n_chars`` and ALL statistics of each row's text; a null text has nulls, an empty or blank one zeros.
 
-    A word is a Han character or a run of other letters and digits. Shares are of characters for *_share of letters, digits, spaces, symbols, odd and
-    separator characters, upper case (of letters), prose, phrase and word; of lines for lines_ended, bullet and distinct_line;
-    of words for common_word, broken_word and distinct_word; of the words' characters for repeated. ``prose_share`` credits each function word with SPAN characters
-    of its line. ``phrase_share`` and ``word_share`` are covered by the middle sentence, or the middle word, alone, if it
-    occurs three times or more; ``repeated_share`` by any runs of RUN words of the whole text that do.
+    A word is a Han character or a run of other letters and digits. Shares are of characters for letter, digit, space, symbol, odd,
+    separator (upper and vowel: of letters) and prose, which credits each function word with SPAN characters of its line; of
+    lines that aren't blank for short_line, lines_ended, bullet, spaceless and distinct_line; of words for the others;
+    repeated_share of the words' characters, those in runs of RUN words that occur three times or more.
     """
-    t, low = F.col("_t"), F.col("_low")
-    n = F.greatest(F.col("n_chars"), F.lit(1)).cast("double")
-    lines = F.filter(F.split(low, "\\r\\n|[\\n\\r\\x{2028}\\x{2029}\\x{0B}\\x{0C}\\x{85}]"), lambda x: F.length(F.trim(x)) > 0)
-    base = df.select(*keep, F.col(text).alias("_t")).withColumns({"n_chars": F.length("_t"), "_low": F.lower("_t")}).withColumn("_lines", lines)
-    base = base.withColumns({
-        "_flat": F.trim(F.regexp_replace(low, "\\s+", " ")), "_words": F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), "_letters": _count(t, "\\p{L}"),
-    }).withColumn("_parts", F.filter(F.split("_flat", "[.!?…]+(?=[ \"”»)]|$)|[。！？]+"), lambda x: F.length(F.trim(x)) > 0))
-    base = base.withColumn("_counts", F.transform("_lines", lambda x: F.regexp_count(x, F.lit(FUNCTION)).cast("double")))
-    words = F.size("_words").cast("double")
-    some = F.greatest(words, F.lit(1.0))
-    n_lines = F.size("_lines").cast("double")
-    some_lines = F.greatest(n_lines, F.lit(1.0))
-    middle = F.when(F.size("_parts") >= 3, F.trim(F.element_at("_parts", (F.size("_parts") / 2).cast("int") + 1)))
-    middle_word = F.when(words >= 3, F.element_at("_words", (F.size("_words") / 2).cast("int") + 1))
-    flat_n = F.greatest(F.length("_flat"), F.lit(1)).cast("double")
-
-    def covered(piece: Column) -> Column:
-        left = F.length(F.replace(F.col("_flat"), piece, F.lit("")))
-        often = piece.isNotNull() & (F.length(piece) > 0) & (flat_n - left >= 3 * F.length(piece))
-        return F.when(often, (flat_n - left) / flat_n).otherwise(F.lit(0.0))
-
-    prose = F.aggregate(F.zip_with("_lines", "_counts", lambda x, c: F.least(F.length(x).cast("double"), SPAN * c)), F.lit(0.0), lambda s, v: s + v)
-    common = F.aggregate("_counts", F.lit(0.0), lambda s, v: s + v)
-    ended = F.size(F.filter("_lines", lambda x: x.rlike("[.!?…。！？:;][\"”’»)\\]]*\\s*$"))).cast("double")
-    bullet = F.size(F.filter("_lines", lambda x: x.rlike("^\\s*(?:[-*•+·–]|\\(?[0-9]{1,3}[.)])\\s"))).cast("double")
-    held = F.greatest(F.aggregate("_lines", F.lit(0.0), lambda s, x: s + F.length(x).cast("double")), F.lit(1.0))
-    values = {
-        "n_words": words,
-        "mean_word_length": F.aggregate("_words", F.lit(0.0), lambda s, w: s + F.length(w).cast("double")) / some,
-        "letter_share": F.col("_letters") / n,
-        "digit_share": _count(t, "\\p{N}") / n,
-        "space_share": _count(t, "\\s") / n,
-        "symbol_share": _count(t, "[^\\p{L}\\p{N}\\s]") / n,
-        "odd_share": _count(t, "[^\\p{L}\\p{N}\\s.,;:!?'’\"“”‘()\\-–—…。，、！？；：（）「」《》«»¿¡/=+%]") / n,
-        "upper_share": _count(t, "\\p{Lu}") / F.greatest(F.col("_letters"), F.lit(1.0)),
-        "n_lines": n_lines,
-        "mean_line_length": held / some_lines,
-        "lines_ended_share": ended / some_lines,
-        "bullet_share": bullet / some_lines,
-        "common_word_share": common / some,
-        "prose_share": prose / held,
-        "broken_word_share": _count(t, BROKEN) / some,
-        "phrase_share": covered(middle),
-        "word_share": covered(middle_word),
-        "distinct_words": F.size(F.array_distinct("_words")).cast("double"),
-        "distinct_word_share": F.size(F.array_distinct("_words")).cast("double") / some,
-        "distinct_line_share": F.size(F.array_distinct("_lines")).cast("double") / some_lines,
-        "separator_share": _count(t, "[\\t|,;&<>{}\\[\\]=\\\\_]") / n,
-    }
-    values["repeated_share"] = _repeated("_words")
-    return base.select(*keep, "n_chars", *[F.when(t.isNotNull(), values[c]).alias(c) for c in FEATURES])
-
-
-def weak_label(stats: DataFrame) -> Column:
-    """1 for certain junk, 0 for certain prose, NULL where the rules are unsure."""
-    repeated = F.greatest("phrase_share", "word_share")
-    odd = F.greatest("odd_share", F.col("broken_word_share") / 2)
-    junk = (F.col("prose_share") < 0.45) | (odd > 0.12) | (repeated > 0.55) | (F.col("repeated_share") > 0.8) | ((F.col("n_words") > 40) & (F.col("distinct_words") < 9))
-    prose = (F.col("prose_share") > 0.6) & (odd < 0.06) & (repeated < 0.4) & (F.col("repeated_share") < 0.7)
-    return F.when(F.col("n_words") + F.col("symbol_share") <= 0, F.lit(None)).when(junk, 1).when(prose, 0)
+    slim = df.select(*keep, F.col(text).alias("_t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *_as_arrays(scan_column(b.columns[-1]))], [*b.schema.names[:-1], "n_chars", *ALL])
+
+    return slim.mapInArrow(run, StructType([*slim.schema.fields[:-1], *_STATISTICS]))
+
+
+def votes(s: pd.DataFrame) -> np.ndarray:
+    """n × 5: 1 for junk, -1 for prose, 0 where a voter abstains."""
+    words = np.where(s.prose_share > 0.6, -1, np.where(s.prose_share < 0.3, 1, 0))
+    repeats = (s.repeated_share > 0.75) | ((s.top_word_share > 0.3) & (s.n_words > 20)) | ((s.n_words > 40) & (s.distinct_words < 9))
+    damage = (s.odd_share > 0.12) | (s.broken_word_share > 0.24) | (s.separator_share > 0.1) | (s.digit_share > 0.3)
+    items = (s.bullet_share > 0.6) | ((s.short_line_share > 0.8) & (s.lines_ended_share < 0.2) & (s.n_lines >= 4))
+    layout = np.where(items, 1, np.where((s.lines_ended_share > 0.6) & (s.mean_line_length > 60), -1, 0))
+    steady = (s.words_a_sentence >= 4) & (s.words_a_sentence <= 60) & (s.sentence_spread > 0.15) & (s.lines_ended_share > 0.5) & (s.repeated_short_share > 0.05)
+    rhythm = np.where(steady, -1, np.where(s.words_a_sentence > 150, 1, 0))
+    return np.stack([words, repeats.astype(int), damage.astype(int), layout, rhythm], axis=1)
+
+
+def weak_labels(s: pd.DataFrame) -> np.ndarray:
+    """1 for junk, 0 for prose, -1 for no label: the majority of votes, but repetition and damaged characters decide alone, and
+    a text that shows some of them is never labelled prose."""
+    v = votes(s)
+    junk, prose = (v > 0).sum(axis=1), (v < 0).sum(axis=1)
+    y = np.where(junk > prose, 1, np.where(prose > junk, 0, -1))
+    y[(v[:, 1] > 0) | (s.odd_share > 0.12) | (s.broken_word_share > 0.24)] = 1
+    some = (s.repeated_share > 0.5) | (s.odd_share > 0.06) | (s.broken_word_share > 0.12)
+    y[(y == 0) & some] = -1
+    y[(s.n_words + s.symbol_share) <= 0] = -1
+    return y
 
 
 @dataclass
@@ -173,7 +110,7 @@ class Boosted:
     shift: float = 0.0
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 64, least: int = 5) -> Boosted:
+    def fit(cls, x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.2, bins: int = 64, least: int = 5) -> Boosted:
         edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
         binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
         p0 = min(max(y.mean(), 1e-3), 1 - 1e-3)
@@ -239,41 +176,49 @@ class Boosted:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.shift, -30, 30)))
 
 
-def train(stats: DataFrame, key: str, max_rows: int = MAX_TRAIN_ROWS) -> Boosted:
-    """Fits on the ``max_rows`` weakly labelled texts with the lowest hash of their key, calibrates on the hand-checked ones.
+def checked(texts: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of hand-checked texts."""
+    values = scan([t for t, _ in texts])
+    return np.stack([values[c] for c in FEATURES], axis=1), np.array([y for _, y in texts], float)
+
+
+def train(df: DataFrame, key: str, text: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> Boosted:
+    """Fits on about ``max_rows`` texts by hash of their key, those of them that the voters label, and calibrates on CALIBRATION.
 
     The hand-checked texts are never trained on.
     """
-    spark = stats.sparkSession
-    labelled = stats.withColumn("_y", weak_label(stats)).where(F.col("_y").isNotNull())
-    rows = labelled.orderBy(F.xxhash64(F.lit(3), F.col(key).cast("string")), key).limit(max_rows).select(*FEATURES, "_y").toPandas()
-    x, y = rows[list(FEATURES)].to_numpy(float), rows["_y"].to_numpy(float)
-    checked = text_statistics(spark.createDataFrame([(t, y_) for t, y_ in HOLDOUT], "text string, y int"), "text", ("y",)).toPandas()
+    there = df.where(F.col(text).isNotNull())
+    n = there.count()
+    hashed = F.xxhash64(F.lit(3), F.col(key).cast("string")).cast("double") / F.lit(2.0**64) + 0.5
+    chosen = there.where(hashed < F.lit(1.1 * max_rows / max(1, n))).select(key, text)
+    rows = text_statistics(spread(chosen), text, (key,)).orderBy(key).limit(2 * max_rows).toPandas()
+    y = weak_labels(rows) if len(rows) else np.zeros(0, int)
+    x, y = rows[list(FEATURES)].to_numpy(float)[y >= 0], y[y >= 0].astype(float)
     if not len(x):
         x, y = np.zeros((1, len(FEATURES))), np.array([0.0])
     model = Boosted.fit(x, y)
-    model.calibrate(checked[list(FEATURES)].to_numpy(float), checked["y"].to_numpy(float))
+    model.calibrate(*checked(CALIBRATION))
     return model
 
 
 def score_texts(df: DataFrame, key: str, text: str = "text", max_rows: int = MAX_TRAIN_ROWS, model: Boosted | None = None) -> DataFrame:
-    """``key``, n_chars, FEATURES, ``junk_probability`` and ``is_junk`` (at 0.5) of every row.
+    """``key``, n_chars, ALL statistics, ``junk_probability`` and ``is_junk`` (at 0.5) of every row.
 
     Null, empty and blank texts have no probability and are no junk. Rows with a null or repeated key are scored each for
     itself; other columns are left out, so none can clash.
     """
-    cut = Cut(df.sparkSession)
-    stats = cut(text_statistics(spread(df.select(key, text)), text, (key,)), "stats")
-    fitted = model or train(stats, key, max_rows)
-    schema = stats.schema.simpleString()
+    fitted = model or train(df, key, text, max_rows)
+    slim = spread(df.select(key, text))
+    at = FEATURES.index("n_words"), FEATURES.index("symbol_share")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in FEATURES], axis=1)
-            filled = ~np.isnan(x[:, 0]) & ((x[:, FEATURES.index("n_words")] > 0) | (x[:, FEATURES.index("symbol_share")] > 0))
+            values = scan_column(b.column(1))
+            x = np.stack([values[c] for c in FEATURES], axis=1)
+            filled = np.nan_to_num(x[:, at[0]]) + np.nan_to_num(x[:, at[1]]) > 0
             p = np.full(len(x), np.nan)
             if filled.any():
                 p[filled] = fitted.probability(x[filled])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, mask=~filled), pa.array(filled & (np.nan_to_num(p) >= 0.5))], [*b.schema.names, "junk_probability", "is_junk"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *_as_arrays(values), pa.array(p, mask=~filled), pa.array(filled & (np.nan_to_num(p) >= 0.5))], [key, "n_chars", *ALL, "junk_probability", "is_junk"])
 
-    return stats.mapInArrow(run, schema.removeprefix("struct<")[:-1].replace(":", " ") + ", junk_probability double, is_junk boolean")
+    return slim.mapInArrow(run, StructType([slim.schema.fields[0], *_STATISTICS, StructField("junk_probability", DoubleType())]).add("is_junk", "boolean"))

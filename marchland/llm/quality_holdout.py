@@ -1,4 +1,5 @@
-"""Hand-checked texts: 1 marks lists, tables and junk, 0 natural prose. They calibrate the classifier and train nothing."""
+"""Hand-checked texts: 1 marks lists, tables and junk, 0 natural prose. Every second one calibrates the classifier, the others are
+for reports; none is trained on. ``OTHER_LANGUAGES`` is prose in languages that no list of words here knows."""
 
 _LIST = "\n".join(f"{i}. {w}" for i, w in enumerate("apples pears plums quinces cherries figs dates grapes".split(), 1))
 _TABLE = "name\tsize\tweight\n" + "\n".join(f"item{i}\t{i * 7 % 13}\t{i * 3.5}" for i in range(14))
@@ -62,3 +63,16 @@ HOLDOUT: list[tuple[str, int]] = [
     ("AB12, CD7, EFG44, HK3, LMN90, PQ15, RS2, TUV61, WX8, YZ33, AC41, BD5, EG72, FH16", 1),
     ("- red\n  * scarlet\n  * crimson\n- blue\n  * navy\n  * azure\n- green\n  * olive\n  * lime", 1),
 ]
+
+OTHER_LANGUAGES = [
+    "De trein had weer vertraging en we moesten bijna een uur wachten. Gelukkig was de koffie goed. Niemand wist precies wat er gebeurd was, maar tegen de avond reed alles weer.",
+    "Il treno era di nuovo in ritardo e abbiamo dovuto aspettare quasi un'ora. Per fortuna il caffè era buono. Nessuno sapeva che cosa fosse successo, ma verso sera tutto funzionava di nuovo.",
+    "O comboio estava atrasado outra vez e tivemos de esperar quase uma hora. Felizmente o café era bom. Ninguém sabia o que tinha acontecido, mas ao fim da tarde tudo voltou ao normal.",
+    "Pociąg znowu się spóźnił i musieliśmy czekać prawie godzinę. Na szczęście kawa była dobra. Nikt nie wiedział, co się stało, ale pod wieczór wszystko działało jak dawniej.",
+    "Поезд снова опоздал, и нам пришлось ждать почти час. К счастью, кофе был хороший. Никто не знал, что случилось, но к вечеру всё опять работало.",
+    "Tåget var försenat igen och vi fick vänta nästan en timme. Som tur var kaffet gott. Ingen visste vad som hade hänt, men framåt kvällen fungerade allt som vanligt.",
+    "Tren yine gecikti ve neredeyse bir saat beklemek zorunda kaldık. Neyse ki kahve güzeldi. Kimse ne olduğunu bilmiyordu ama akşama doğru her şey yeniden çalışıyordu.",
+    "電車はまた遅れていて、私たちは一時間近く待たなければならなかった。幸い、コーヒーはおいしかった。何が起きたのか誰も知らなかったが、夕方にはすべて元どおりになった。",
+    "Το τρένο άργησε πάλι και χρειάστηκε να περιμένουμε σχεδόν μία ώρα. Ευτυχώς ο καφές ήταν καλός. Κανείς δεν ήξερε τι είχε συμβεί, αλλά το βράδυ όλα λειτουργούσαν ξανά.",
+    "A vonat megint késett, és majdnem egy órát kellett várnunk. Szerencsére a kávé jó volt. Senki sem tudta, mi történt, de estére minden újra működött.",
+]

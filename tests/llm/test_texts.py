@@ -9,7 +9,8 @@ import tiktoken
 
 
 from marchland.llm import mixture, quality, tokens
-from marchland.llm.quality_holdout import HOLDOUT
+from marchland.llm.quality_holdout import OTHER_LANGUAGES
+from marchland.llm.text_scan import scan
 
 TEXTS = [
     "Hello world, it's a test. It's 2024!",
@@ -104,12 +105,13 @@ DOCUMENTS = "/root/testdata/sf0.01/documents.parquet"
 
 @pytest.mark.skipif(not os.path.exists(DOCUMENTS), reason="needs the documents table")
 def test_junk_is_told_from_prose(spark):
-    """Trained on the documents, the hand-checked texts, which it hasn't seen, must come out right."""
-    model = quality.train(quality.text_statistics(spark.read.parquet(DOCUMENTS), "text", ("doc_id",)), "doc_id")
-    checked = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(HOLDOUT)], "doc_id long, text string")
-    got = {r["doc_id"]: r["is_junk"] for r in quality.score_texts(checked, "doc_id", model=model).collect()}
-    right = sum(got[i] == bool(y) for i, (_, y) in enumerate(HOLDOUT))
-    assert right >= 0.9 * len(HOLDOUT)
+    """Trained on the documents and calibrated on one half of the hand-checked texts, the other half must come out right, and
+    prose in languages that no list of words here knows."""
+    model = quality.train(spark.read.parquet(DOCUMENTS), "doc_id")
+    x, y = quality.checked(quality.REPORT)
+    assert ((model.probability(x) >= 0.5) == (y > 0)).mean() >= 0.88
+    x, _ = quality.checked([(t, 0) for t in OTHER_LANGUAGES])
+    assert (model.probability(x) < 0.5).mean() >= 0.8
     blank = quality.score_texts(spark.createDataFrame([(1, None), (2, ""), (3, " \n")], "doc_id long, text string"), "doc_id", model=model).collect()
     assert [r["is_junk"] for r in blank] == [False] * 3 and all(r["junk_probability"] is None for r in blank)
 
@@ -117,7 +119,16 @@ def test_junk_is_told_from_prose(spark):
 def test_very_long_text(spark):
     df = spark.createDataFrame([(1, "The house of the man was old. " * 20_000), (2, "x" * 300_000), (3, "\n" * 100_000)], "doc_id long, text string")
     stats = quality.text_statistics(df, "text", ("doc_id",)).orderBy("doc_id").collect()
-    assert stats[0]["phrase_share"] > 0.9 and stats[1]["n_words"] == 1 and stats[2]["n_lines"] == 0
+    assert stats[0]["repeated_share"] > 0.9 and stats[1]["n_words"] == 1 and stats[2]["n_lines"] == 0
+
+
+def test_scan_does_not_depend_on_neighbours():
+    texts = ["One line. And two!", "", "  ", "- a\n- b\r\n(3) c", "不知道。是的，我们走了。", "x" * 2000, "\u2028 (", "tail"]
+    whole = scan(texts)
+    for i, t in enumerate(texts):
+        alone = scan([t])
+        assert all(np.isclose(whole[c][i], alone[c][0]) for c in alone), (i, [c for c in alone if not np.isclose(whole[c][i], alone[c][0])])
+    assert whole["bullet_share"][3] == 1 and whole["n_words"][4] == 9 and whole["words_a_sentence"][0] == 2
 
 
 def test_too_few_texts_to_train_on(spark):
@@ -130,7 +141,6 @@ def test_repeated_phrases_without_sentence_ends_are_junk(spark):
     phrase = "the old harbour was not open because of seven heavy storms and rain"
     tail = "It was late when they came back. Nobody had seen the light in their house. They were tired. We went on."
     texts = [(1, "\n".join([phrase] * 20)), (2, ", ".join([phrase] * 20)), (3, f"{phrase} " * 20 + tail), (4, tail)]
-    stats = quality.text_statistics(spark.createDataFrame(texts, "doc_id long, text string"), "text", ("doc_id",))
-    got = stats.withColumn("y", quality.weak_label(stats)).orderBy("doc_id").collect()
-    assert [r["y"] for r in got] == [1, 1, 1, 0]
-    assert got[0]["repeated_share"] == 1.0 and 0.85 < got[2]["repeated_share"] < 1.0 and got[3]["repeated_share"] == 0.0
+    got = quality.text_statistics(spark.createDataFrame(texts, "doc_id long, text string"), "text", ("doc_id",)).orderBy("doc_id").toPandas()
+    assert quality.weak_labels(got).tolist() == [1, 1, 1, 0]
+    assert got.repeated_share[0] == 1.0 and 0.85 < got.repeated_share[2] < 1.0 and got.repeated_share[3] == 0.0
