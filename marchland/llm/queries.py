@@ -83,8 +83,16 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, d: str) -> mixture.Mixture:
-    docs = tokens.token_counts(table(spark, d, "documents").select("doc_id", "source", "text"))
-    return mixture.mix(docs, table(spark, d, "mix_targets"), "doc_id", "source", "tokens", "text", {"length": F.log1p("tokens")})
+    """The mixture keeps the corpus's bands of length and its languages."""
+    docs = tokens.token_counts(table(spark, d, "documents").select("doc_id", "source", "lang", "text"))
+    flag = lambda c: c.cast("double")
+    bands = {"short": flag(F.col("tokens") < 64), "long": flag(F.col("tokens") >= 512)}
+    languages = {f"lang_{x}": flag(F.col("lang") == x) for x in ("en", "zh", "de", "es", "fr")}
+    return mixture.mix(docs, table(spark, d, "mix_targets"), "doc_id", "source", "tokens", "text", bands | languages)
+
+
+def p8_balance(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).balance
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
@@ -113,6 +121,7 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_report": p8_report,
     "p8_copies": p8_copies,
+    "p8_balance": p8_balance,
     "p7_ids": p7_ids,
     "p6_found": p6_found,
     "p6_subset": p6_subset,

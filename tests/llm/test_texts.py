@@ -8,6 +8,8 @@ import pytest
 import tiktoken
 
 
+from pyspark.sql import functions as F
+
 from marchland.llm import mixture, quality, tokens
 from marchland.llm.quality_holdout import OTHER_LANGUAGES
 from marchland.llm.text_scan import scan
@@ -84,6 +86,19 @@ def test_mixture_unreachable_is_used_throughout(spark):
     assert report["a"] == (False, 30) and report["b"][0]
 
 
+def test_mixture_tilts_towards_what_shares_shift(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "ab"[i % 2], int(rng.integers(20, 40)), f"t{i}", float(rng.random() < (0.8 if i % 2 else 0.3))) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, tokens long, text string, f double")
+    targets = spark.createDataFrame([("a", 0.8, 3), ("b", 0.2, 2)], "source string, target_share double, max_repeats int")
+    got = mixture.mix(docs, targets, "doc_id", "source", "tokens", "text", {"f": F.col("f")})
+    b = got.balance.first()
+    assert abs(b["mixture_mean"] - b["corpus_mean"]) < 0.1 * abs(b["shares_only_mean"] - b["corpus_mean"]) and b["tilt"] > 0.1
+    assert all(abs(r["actual_share"] - r["target_share"]) < 0.001 for r in got.report.collect())
+    rates = {(r["source"], round(r["rate"], 6)) for r in got.copies.collect()}
+    assert len(rates) == 4
+
+
 def test_mixture_empty(spark):
     assert mixed(spark, [], [("a", 1.0, 2)]).copies.count() == 0
     assert mixed(spark, [(1, "a", 5, "x")], []).report.count() == 0
