@@ -45,6 +45,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL_SHARED
 
 
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """The path as this machine's file system has it, or None if its scheme, or the default one where it has none, is another."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    scheme = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme()
+    return at.toUri().getPath() if scheme == "file" else None
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     _WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     return _WRITTEN[-1]
@@ -103,8 +110,10 @@ def ship(spark: SparkSession) -> None:
     known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if app in _SHIPPED or root in known or (spark.sparkContext.master.startswith("local[") and os.path.abspath(os.getcwd()) == root):
         return
-    at = shared_dir(spark)
-    folder = at.removeprefix("file://") if at.startswith(("file://", "/")) else tempfile.mkdtemp(prefix="marchland-code-")
+    folder = mounted(spark, shared_dir(spark))
+    if folder is None:  # the driver serves the file to the tasks for as long as it runs
+        folder = tempfile.mkdtemp(prefix="marchland-code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     os.makedirs(folder, exist_ok=True)
     target = os.path.join(folder, f"marchland-{uuid.uuid4().hex}.zip")
     with zipfile.ZipFile(target, "w") as z:
