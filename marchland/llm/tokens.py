@@ -2,7 +2,8 @@
 
 The corpus's frequent words (pieces of the splitting pattern) are compiled into a minimal acyclic transducer: an automaton
 over their bytes that shares prefixes and suffixes and sums outputs along a path to the word's number, which leads to its
-ids. It is written once to the shared folder and memory-mapped by all tasks of a machine. Distinct words of a batch walk it
+ids. It is written once to the shared folder and memory-mapped by all tasks of a machine (broadcast where the
+folder can't be mounted). Distinct words of a batch walk it
 together, one byte at a time, in NumPy. Words it does not hold are merged exactly by the vocabulary's ranks.
 """
 
@@ -10,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import os
-import tempfile
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from marchland.session import new_path
+from marchland.session import mounted, new_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LEXICON_WORDS = 50_000
@@ -198,9 +198,8 @@ def lexicon(texts: DataFrame, ranks: dict[bytes, int], text: str = "text", words
 
 def _placed(spark, built: Transducer):
     """Where tasks find the transducer: a folder to map where the shared folder is a mounted one, else the arrays themselves."""
-    at = new_path(spark, "lexicon")
-    if at.startswith("file:") or at.startswith("/"):
-        folder = at.removeprefix("file://").removeprefix("file:")
+    folder = mounted(spark, new_path(spark, "lexicon"))
+    if folder is not None:
         built.save(folder)
         return folder, None
     return None, spark.sparkContext.broadcast({name: getattr(built, name) for name in Transducer.FIELDS})
@@ -209,10 +208,7 @@ def _placed(spark, built: Transducer):
 def _opened(folder: str | None, arrays) -> Transducer:
     if folder is not None:
         return Transducer.load(folder)
-    # a store that can't be mapped: this process maps its own copy of the arrays
-    local = tempfile.mkdtemp(prefix="lexicon-")
-    Transducer(**arrays.value).save(local)
-    return Transducer.load(local)
+    return Transducer(**arrays.value)  # a store that can't be mapped: the arrays came with the task
 
 
 def encode_batch(texts: list[str | None], split, held: Transducer, merge: Merger) -> tuple[np.ndarray, np.ndarray]:
