@@ -83,11 +83,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, d: str) -> mixture.Mixture:
-    """The mixture keeps the corpus's bands of length and its languages."""
+    """The mixture keeps the corpus's bands of length and its two main languages."""
     docs = tokens.token_counts(table(spark, d, "documents").select("doc_id", "source", "lang", "text"))
     flag = lambda c: c.cast("double")
     bands = {"short": flag(F.col("tokens") < 64), "long": flag(F.col("tokens") >= 512)}
-    languages = {f"lang_{x}": flag(F.col("lang") == x) for x in ("en", "zh", "de", "es", "fr")}
+    languages = {f"lang_{x}": flag(F.col("lang") == x) for x in ("en", "zh")}
     return mixture.mix(docs, table(spark, d, "mix_targets"), "doc_id", "source", "tokens", "text", bands | languages)
 
 
