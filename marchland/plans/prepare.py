@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marchland.operators import badrows, spatial
@@ -46,19 +46,52 @@ def _whole_or_null(c: str, alternatives: str):
     return F.when(text.rlike(f"\\A{whole(alternatives)}\\z"), F.regexp_replace(F.trim(text), "\\.0+$", "").try_cast("int"))
 
 
-def fill_breast_cancer(spark: SparkSession, d: str) -> DataFrame:
-    grade, status = _whole_or_null("c6", "10|[1-9]"), F.when(F.col("c10").isin(1, 2), F.col("c10"))
+def _hidden(field: str, hide: bool) -> Column:
+    """A tenth of the records, by hash, whose value is held out to measure errors."""
+    return (F.pmod(F.xxhash64(F.lit(field), "rec_id"), F.lit(10)) == 0) if hide else F.lit(False)
+
+
+def _grade() -> Column:
+    return _whole_or_null("c6", "10|[1-9]")
+
+
+def _status() -> Column:
+    return F.when(F.col("c10").isin(1, 2), F.col("c10"))
+
+
+def _age() -> Column:
+    return F.when((F.col("c33") > 0) & (F.col("c33") <= 100), F.col("c33"))
+
+
+def fill_breast_cancer(spark: SparkSession, d: str, hide: bool = False) -> DataFrame:
+    grade, status = F.when(~_hidden("c6", hide), _grade()), F.when(~_hidden("c10", hide), _status())
     numeric = {f"c{i}": F.col(f"c{i}") for i in (1, 2, 3, 4, 5, 7, 8, 9)} | {"c6": grade, "day": F.col("seen_at").cast("long") / 86400}
     levels6 = (("case", ("c0",), 1), ("cluster_clinic", ("_cluster", "clinic"), 20), ("cluster", ("_cluster",), 1), ("clinic", ("clinic",), 1), ("all", (), 1))
     targets = [Target("c6", grade, levels6), Target("c10", status, (("case", ("c0",), 1), *levels6[1:]), categorical=True)]
     return fill_missing(table(spark, d, "breast_cancer"), "rec_id", Features(numeric, {"c10": status, "clinic": F.col("clinic")}), targets)
 
 
-def fill_dermatology(spark: SparkSession, d: str) -> DataFrame:
-    age = F.when((F.col("c33") > 0) & (F.col("c33") <= 100), F.col("c33"))
+def fill_dermatology(spark: SparkSession, d: str, hide: bool = False) -> DataFrame:
+    age = F.when(~_hidden("c33", hide), _age())
     numeric = {f"c{i}": F.col(f"c{i}") for i in range(33)} | {"c33": age}
     levels = (("cluster_class_batch", ("_cluster", "c34", "batch"), 20), ("cluster_class", ("_cluster", "c34"), 1), ("cluster", ("_cluster",), 1), ("batch", ("batch",), 1), ("all", (), 1))
-    return fill_missing(table(spark, d, "dermatology"), "rec_id", Features(numeric, {"c34": F.col("c34")}), [Target("c33", age, levels)])
+    alike = tuple(f"c{i}" for i in range(33))
+    return fill_missing(table(spark, d, "dermatology"), "rec_id", Features(numeric, {"c34": F.col("c34")}), [Target("c33", age, levels, alike=alike)])
+
+
+def p5_errors(spark: SparkSession, d: str) -> DataFrame:
+    """(src, field, method, n, error, plain): of held-out values, by the level that filled them, the mean absolute error (c10: the
+    share of wrong ones) and that of the median (mode) of all."""
+    out = []
+    cancer = fill_breast_cancer(spark, d, True)
+    for src, field, truth, filled in (("breast_cancer", "c6", _grade(), cancer), ("breast_cancer", "c10", _status(), cancer), ("dermatology", "c33", _age(), fill_dermatology(spark, d, True))):
+        seen = table(spark, d, src).select("rec_id", _hidden(field, True).alias("hidden"), truth.cast("double").alias("truth")).where(F.col("truth").isNotNull() & F.col("rec_id").isNotNull()).dropDuplicates(["rec_id"])
+        plain = seen.where("not hidden").agg((F.mode("truth", deterministic=True) if field == "c10" else F.percentile_approx("truth", 0.5)).alias("p"))
+        off = (lambda a, b: (a != b).cast("double")) if field == "c10" else (lambda a, b: F.abs(a - b))
+        both = seen.where("hidden").join(filled.select("rec_id", F.col(field).cast("double").alias("v"), F.col(f"{field}_method").alias("method")), "rec_id").crossJoin(F.broadcast(plain))
+        err = both.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.avg(off(F.col("v"), F.col("truth"))).alias("error"), F.avg(off(F.col("p"), F.col("truth"))).alias("plain"))
+        out.append(err.select(F.lit(src).alias("src"), F.lit(field).alias("field"), "method", "n", "error", "plain"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def _filled(df: DataFrame, src: str, name: str) -> DataFrame:
@@ -83,6 +116,7 @@ QUERIES = {
     "p2_region_counts": p2_region_counts,
     "p5_found": p5_found,
     "p5_filled": p5_filled,
+    "p5_errors": p5_errors,
 }
 
 
