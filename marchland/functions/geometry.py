@@ -178,3 +178,42 @@ def swapped(ring: Column) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def read_wkt_parts(text: Column) -> Column:
+    """struct kind, parts (array<array<struct x, y>>) of any POINT, LINESTRING, POLYGON, their MULTI forms or a collection of them;
+    parts are the innermost lists of places in order (points, lines, rings). NULL where the text has none."""
+    kind = F.upper(F.regexp_extract(text, "^\\s*([A-Za-z]+)", 1))
+    lists = F.regexp_extract_all(text, F.lit("\\(([^()]+)\\)"), F.lit(1))
+
+    def places(part: Column) -> Column:
+        return F.transform(F.split(F.trim(part), "\\s*,\\s*"), lambda p: F.struct(F.split_part(F.trim(p), F.lit(" "), F.lit(1)).try_cast("double").alias("x"), F.split_part(F.regexp_replace(F.trim(p), "\\s+", " "), F.lit(" "), F.lit(2)).try_cast("double").alias("y")))
+
+    parts = F.transform(lists, places)
+    # the places of a multi-point may stand without brackets of their own
+    loose = (kind == "MULTIPOINT") & (F.size(parts) == 1)
+    parts = F.when(loose, F.transform(F.element_at(parts, 1), lambda p: F.array(p))).otherwise(parts)
+    return F.when(F.size(lists) > 0, F.struct(kind.alias("kind"), parts.alias("parts")))
+
+
+def wkt_multi(kind: str, parts: Column) -> Column:
+    """Text of a MULTIPOINT, MULTILINESTRING or (rings of one) POLYGON from lists of places."""
+    places = lambda part: F.concat(F.lit("("), F.concat_ws(", ", F.transform(part, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))), F.lit(")"))
+    return F.concat(F.lit(kind + " ("), F.concat_ws(", ", F.transform(parts, places)), F.lit(")"))
+
+
+def same_ring(a: Column, b: Column) -> Column:
+    """Whether two rings (array<struct x, y>) have the same places in the same order, a closing place left out on either side."""
+    opened = lambda r: F.when((F.size(r) > 1) & (F.element_at(r, 1) == F.element_at(r, -1)), F.slice(r, 1, F.size(r) - 1)).otherwise(r)
+    return F.coalesce(opened(a) == opened(b), F.lit(False))
+
+
+def envelope_covers(a: Column, b: Column) -> Column:
+    """Whether envelope a (struct xmin, ymin, xmax, ymax) holds all of envelope b, edges included."""
+    return (a["xmin"] <= b["xmin"]) & (a["ymin"] <= b["ymin"]) & (a["xmax"] >= b["xmax"]) & (a["ymax"] >= b["ymax"])
+
+
+def reference_point(a: Column, b: Column) -> Column:
+    """Lower left corner of what two envelopes share (struct x, y): of the cells both lie in, the one that holds it reports the pair,
+    so that it comes out once."""
+    return F.struct(F.greatest(a["xmin"], b["xmin"]).alias("x"), F.greatest(a["ymin"], b["ymin"]).alias("y"))

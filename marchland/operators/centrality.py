@@ -131,8 +131,8 @@ def facets_by_force(directions: np.ndarray) -> list[tuple[int, ...]]:
     return out
 
 
-def hull_dcm(offsets: np.ndarray, ddof: int = 0, fail_value: float = 1.0) -> float:
-    """Variance of the facet simplices' volumes of the hull of the neighbours' directions."""
+def hull_dcm(offsets: np.ndarray, ddof: int = 0, fail_value: float = 1.0, norm: int = 1) -> float:
+    """Variance of the facet simplices' volumes of the hull of the neighbours' directions; volumes are divided by gamma(d - norm)."""
     length = np.linalg.norm(offsets, axis=1)
     units = offsets[length > 0] / length[length > 0, None]
     units = np.unique(np.round(units, 12), axis=0)
@@ -141,13 +141,13 @@ def hull_dcm(offsets: np.ndarray, ddof: int = 0, fail_value: float = 1.0) -> flo
         volumes = []
         for f in sphere_facets(units):
             s = units[list(f)]
-            volumes.append(math.sqrt(max(0.0, float(np.linalg.det(s @ s.T)))) / math.gamma(d - 1))
+            volumes.append(math.sqrt(max(0.0, float(np.linalg.det(s @ s.T)))) / math.gamma(d - norm))
         return float(np.var(volumes, ddof=ddof))
     except (ValueError, np.linalg.LinAlgError):
         return fail_value
 
 
-def dcm_hull(edges: DataFrame, points: DataFrame, dims: list[str], uid: str = "id", ddof: int = 0, fail_value: float = 1.0) -> DataFrame:
+def dcm_hull(edges: DataFrame, points: DataFrame, dims: list[str], uid: str = "id", ddof: int = 0, fail_value: float = 1.0, norm: int = 1) -> DataFrame:
     """(id, dcm) in three dimensions or more. A point's neighbours (k rows) meet in one array; hulls run in Arrow batches."""
     a = points.select(F.col(uid).alias("id"), F.array(*[F.col(c).cast("double") for c in dims]).alias("a"))
     b = points.select(F.col(uid).alias("nbr"), F.array(*[F.col(c).cast("double") for c in dims]).alias("b"))
@@ -156,7 +156,7 @@ def dcm_hull(edges: DataFrame, points: DataFrame, dims: list[str], uid: str = "i
 
     @F.pandas_udf("double")
     def score(o: pd.Series) -> pd.Series:
-        return o.map(lambda rows: hull_dcm(np.array([np.asarray(r, float) for r in rows]), ddof, fail_value))
+        return o.map(lambda rows: hull_dcm(np.array([np.asarray(r, float) for r in rows]), ddof, fail_value, norm))
 
     return each.select("id", score("o").alias("dcm"))
 

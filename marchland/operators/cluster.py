@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marchland.operators import centrality, connect
 from marchland.operators.components import components
 from marchland.operators.neighbors import knn
-from marchland.operators.prep import back_fill, dedup, dense_numbers, min_max
+from marchland.operators.prep import back_fill, dedup, dense_numbers, min_max, principal_components
 from marchland.session import Cut
 
 
@@ -91,6 +91,14 @@ def cluster(df: DataFrame, k: int, ratio: float, uid: str = "id", dims: tuple[st
     return back_fill(slim, labels, "cluster", "id", dims).where(F.col("cluster").isNotNull())
 
 
+def cluster_embedded(df: DataFrame, k: int, ratio: float, vec: str, components: int | float = 2, uid: str = "id", **options) -> DataFrame:
+    """(id, cluster) of long vectors by their first principal ``components`` (below 1: the share of variance to keep)."""
+    pcs, axes, _ = principal_components(df, vec, components, uid)
+    names = [f"c{i}" for i in range(max(2, axes.shape[1]))]
+    flat = pcs.select("id", *[F.get("pc", i).alias(n) if i < axes.shape[1] else F.lit(0.0).alias(n) for i, n in enumerate(names)])
+    return cluster(flat, k, ratio, dims=tuple(names), **options)
+
+
 def cluster_without_noise(df: DataFrame, noise: DataFrame, k: int, ratio: float, uid: str = "id", dims: tuple[str, ...] = ("x", "y"), **options) -> DataFrame:
     """(id, cluster): points listed in ``noise`` (id) get 0, the others are clustered without them."""
     kept = df.join(noise.select(F.col("id").alias(uid)), uid, "left_anti")

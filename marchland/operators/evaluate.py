@@ -144,3 +144,12 @@ def class_scores(table: DataFrame) -> DataFrame:
     tp, fp, fn = F.col("tp"), F.col("b") - F.col("tp"), F.col("a") - F.col("tp")
     share = lambda a, b: F.when(b > 0, a / b)
     return j.select("label", "tp", fp.alias("fp"), fn.alias("fn"), share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
+def subset_match(table: DataFrame) -> DataFrame:
+    """(true_label, pred_label, f1): for each class the group of greatest F-measure, ties by group; a group may serve several."""
+    t = table.groupBy("true_label").agg(F.sum("n").alias("a"))
+    p = table.groupBy("pred_label").agg(F.sum("n").alias("b"))
+    each = table.join(t, "true_label").join(p, "pred_label").select("true_label", "pred_label", (2 * F.col("n") / (F.col("a") + F.col("b"))).alias("f1"))
+    best = each.groupBy("true_label").agg(F.max("f1").alias("f1"))
+    return each.join(best, ["true_label", "f1"]).groupBy("true_label", "f1").agg(F.min("pred_label").alias("pred_label")).select("true_label", "pred_label", "f1")

@@ -108,3 +108,27 @@ def fit_curve(spread: float = 1.0, min_dist: float = 0.1) -> tuple[float, float]
         if np.abs(step).max() < 1e-12:
             break
     return float(np.exp(theta[0])), float(np.exp(theta[1]))
+
+
+def intersect_graphs(a: DataFrame, b: DataFrame, mix: float = 0.5) -> DataFrame:
+    """(src, dst, w) of the edges of either graph (src, dst, w): a · b^(mix / (1 - mix)), or a^((1 - mix) / mix) · b from 0.5 on.
+
+    An edge that one graph lacks counts there as half its least weight, but at least 1e-8.
+    """
+    if not 0 < mix < 1:
+        raise ValueError("the mix lies between 0 and 1")
+    least = lambda g, n: g.agg(F.greatest(F.min("w") / 2, F.lit(1e-8)).alias(n))
+    both = a.select("src", "dst", F.col("w").alias("a")).join(b.select("src", "dst", F.col("w").alias("b")), ["src", "dst"], "full")
+    both = both.crossJoin(F.broadcast(least(a, "la"))).crossJoin(F.broadcast(least(b, "lb")))  # one row each
+    x, y = F.coalesce("a", "la", F.lit(1e-8)), F.coalesce("b", "lb", F.lit(1e-8))
+    w = x * F.pow(y, F.lit(mix / (1 - mix))) if mix < 0.5 else F.pow(x, F.lit((1 - mix) / mix)) * y
+    return both.select("src", "dst", w.alias("w"))
+
+
+def reset_local_connectivity(g: DataFrame) -> DataFrame:
+    """(src, dst, w): each node's weights over its greatest one, then the fuzzy union with the reversed graph."""
+    top = g.groupBy("src").agg(F.max("w").alias("m"))
+    scaled = g.join(top, "src").select("src", "dst", (F.col("w") / F.col("m")).alias("w"))
+    back = scaled.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("v"))
+    both = scaled.join(back, ["src", "dst"], "full").na.fill(0.0, ["w", "v"])
+    return both.select("src", "dst", (F.col("w") + F.col("v") - F.col("w") * F.col("v")).alias("w"))

@@ -292,3 +292,57 @@ def knn_hamming_exact(df: DataFrame, k: int, uid: str = "id", words: str = "word
     best = Window.partitionBy("id").orderBy("dist", "nbr")
     pairs = q.join(s, ["r", "c"]).where(F.col("id") != F.col("nbr")).select("id", "nbr", hamming_bits(F.col("a"), F.col("b")).alias("dist"))
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "rank", "nbr", "dist")
+
+
+class _Rotated(tree_knn.Space):
+    """The vectors in randomly turned axes: distances stay the same, the tree's splits don't."""
+
+    def __init__(self, d: int, seed: int) -> None:
+        super().__init__(d)
+        self.axes = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))[0]
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.axes
+
+
+def knn_forest(df: DataFrame, k: int, uid: str = "id", dims: list[str] | str = ("x", "y"), trees: int = 4, leaf_rows: int = 1024) -> DataFrame:
+    """(id, rank, nbr, d2), approximate: the k nearest of what each point's own leaves of several randomly turned trees hold.
+
+    Rows as in ``knn``, but a place of many points lists its lowest ids only. More trees or larger leaves find more (``recall``).
+    """
+    dims = dims if isinstance(dims, str) else list(dims)
+    d = _width(df, dims)
+    cut = Cut(df.sparkSession)
+    points = cut(_clean(df, uid, dims).dropDuplicates(["_u"]), "points")
+    distinct = cut(tree_knn.distinct_vectors(points, F.lit(0), F.col("_u"), F.col("_v"), k + 2), "distinct")
+    lists = None
+    for t in range(trees):
+        one = tree_knn.nearest_lists(distinct, tree_knn.Space(d) if t == 0 else _Rotated(d, t), k, leaf_rows, others=False)
+        lists = one if lists is None else lists.unionByName(one)
+    merged = lists.groupBy("_u").agg(F.array_distinct(F.flatten(F.collect_list("_near"))).alias("_near"))
+    # a distance found in turned axes may differ in its last digits
+    flat = merged.select("_u", F.explode("_near").alias("e")).groupBy("_u", F.col("e.i").alias("i")).agg(F.min("e.d").alias("d"))
+    several = distinct.select("_u", F.explode("_heads").alias("id"))
+    each = several.join(flat, "_u").where(F.col("id") != F.col("i"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "i"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", F.col("i").alias("nbr"), F.col("d").alias("d2"))
+
+
+def knn_descent(df: DataFrame, start: DataFrame, k: int, uid: str = "id", dims: list[str] | str = ("x", "y"), rounds: int = 2) -> DataFrame:
+    """(id, rank, nbr, d2), approximate: neighbour lists bettered by the neighbours' neighbours, some rounds over.
+
+    ``start`` (id, rank, nbr, d2) may be any lists, as those of ``knn_forest``. A round looks at k + k² candidates a point.
+    """
+    dims = dims if isinstance(dims, str) else list(dims)
+    cut = Cut(df.sparkSession)
+    points = cut(_clean(df, uid, dims).dropDuplicates(["_u"]), "points")
+    a, b = points.select(F.col("_u").alias("id"), F.col("_v").alias("va")), points.select(F.col("_u").alias("nbr"), F.col("_v").alias("vb"))
+    now = start.select("id", "nbr", "d2")
+    d2 = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, e: s + e)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "nbr"))
+    for turn in range(rounds):
+        second = now.select("id", F.col("nbr").alias("m")).join(now.select(F.col("id").alias("m"), "nbr"), "m").select("id", "nbr")
+        new = second.where(F.col("id") != F.col("nbr")).distinct().join(now.select("id", "nbr"), ["id", "nbr"], "left_anti")
+        scored = new.join(b, "nbr").join(a, "id").select("id", "nbr", d2.alias("d2"))
+        now = cut(now.unionByName(scored).withColumn("rank", rank).where(F.col("rank") <= k).select("id", "nbr", "d2"), f"round{turn}")
+    return now.withColumn("rank", rank).select("id", "rank", "nbr", "d2")

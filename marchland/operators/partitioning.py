@@ -194,3 +194,30 @@ def class_moments(df: DataFrame, label: str, dims: tuple[str, ...] = ("x", "y"))
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in dims], *[F.covar_samp(a, b).alias(f"cov_{a}_{b}") for a, b in pairs])
 
 
+
+
+def normality(df: DataFrame, col: str, lo: float, hi: float, bins: int) -> DataFrame:
+    """One row ``kl``: Kullback-Leibler divergence of the histogram from the normal distribution with the values' mean and sample
+    deviation, taken at the middles of the bins and scaled to sum to 1."""
+    inside = df.where(F.col(col).between(lo, hi))
+    m = inside.agg(F.avg(col).alias("m"), F.stddev_samp(col).alias("s")).first()
+    if m["m"] is None or not m["s"]:
+        return df.sparkSession.createDataFrame([(None,)], "kl double")
+    h = histogram(df, col, lo, hi, bins)
+    middle = lambda b: F.lit(float(lo)) + (b - 0.5) * ((hi - lo) / bins)
+    density = F.exp(-F.pow((middle(F.col("bin")) - m["m"]) / m["s"], F.lit(2.0)) / 2)
+    whole = float(sum(np.exp(-(((lo + (b - 0.5) * (hi - lo) / bins) - m["m"]) / m["s"]) ** 2 / 2) for b in range(1, bins + 1)))
+    total = h.agg(F.sum("n")).first()[0] or 1
+    p = F.col("n") / F.lit(float(total))
+    return h.agg(F.sum(p * F.log(p / (density / whole))).alias("kl"))
+
+
+def bin_overlap(binned: DataFrame, subset: str, bin_: str = "bin") -> DataFrame:
+    """(a, b, f_measure): for each pair a < b of subsets, the F-measure of their overlap in bins: in a bin the smaller of the two
+    counts is shared."""
+    n = binned.groupBy(F.col(subset).alias("s"), F.col(bin_).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    size = n.groupBy("s").agg(F.sum("n").alias("size"))
+    pairs = n.select(F.col("s").alias("a"), "bin", F.col("n").alias("na")).join(n.select(F.col("s").alias("b"), "bin", F.col("n").alias("nb")), "bin").where("a < b")
+    shared = pairs.groupBy("a", "b").agg(F.sum(F.least("na", "nb")).alias("tp"))
+    both = shared.join(size.select(F.col("s").alias("a"), F.col("size").alias("sa")), "a").join(size.select(F.col("s").alias("b"), F.col("size").alias("sb")), "b")
+    return both.select("a", "b", (2 * F.col("tp") / (F.col("sa") + F.col("sb"))).alias("f_measure"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marchland.session import Cut
@@ -126,8 +126,29 @@ def standardise(long: DataFrame, gene: str = "gene", value: str = "value", most:
     return long.join(stats, gene).withColumn(value, F.least(F.lit(most), z)).drop("_m", "_s")
 
 
-def dense_numbers(df: DataFrame, order: str, number: str) -> DataFrame:
-    """Rows numbered 1, 2, ... in the order of a column of distinct values, without one task seeing all of them.
+def sample_rows(df: DataFrame, n: int, uid: str = "id", seed: int = 7) -> DataFrame:
+    """``n`` different rows (all, if there are fewer), those of lowest seeded hash: the same however the table is stored.
+
+    Each partition sends its ``n`` lowest only.
+    """
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(uid)), uid).limit(n)
+
+
+def row_range(df: DataFrame, order: str | list[str], first: int, count: int) -> DataFrame:
+    """``count`` rows from the ``first``-th (1-based) in the order of columns that together are distinct."""
+    return dense_numbers(df, order, "_row").where(F.col("_row").between(first, first + count - 1)).drop("_row")
+
+
+def variable_genes(long: DataFrame, n: int, gene: str = "gene", value: str = "value") -> DataFrame:
+    """(gene, mean, dispersion, rank): the ``n`` genes of greatest dispersion (variance over mean), ties by gene; genes whose mean
+    is 0 have none."""
+    stats = long.groupBy(gene).agg(F.avg(value).alias("mean"), F.var_samp(value).alias("_v")).where(F.col("mean") != 0)
+    ranked = stats.select(gene, "mean", (F.col("_v") / F.col("mean")).alias("dispersion")).where(F.col("dispersion").isNotNull())
+    return ranked.orderBy(F.desc("dispersion"), gene).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("dispersion"), gene)))
+
+
+def dense_numbers(df: DataFrame, order: str | list[str], number: str) -> DataFrame:
+    """Rows numbered 1, 2, ... in the order of columns of distinct values, without one task seeing all of them.
 
     A range sort places the rows; each partition numbers its own, and the partitions' sizes (one row each) give the offsets.
     """

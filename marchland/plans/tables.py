@@ -122,9 +122,9 @@ def fuzzy_graph(spark, d):
     return graph.fuzzy_graph(neighbors.knn(emb2d(spark, d), 15), 15)
 
 
-@query("SELECT vec_id AS id, i - 1 AS gene, round(CAST(ln(1 + v / t * 10000) AS DOUBLE), 6) AS value FROM (SELECT vec_id, i, abs(CAST(embedding[i] AS DOUBLE)) AS v, sum(abs(CAST(embedding[i] AS DOUBLE))) OVER (PARTITION BY vec_id) AS t FROM embeddings, range(1, 9) t(i))")
+@query("SELECT vec_id AS id, i - 1 AS gene, round(CAST(ln(1 + v / t * 10000) AS DOUBLE), 6) AS value FROM (SELECT vec_id, i, abs(CAST(embedding[i] AS DOUBLE)) AS v, sum(abs(CAST(embedding[i] AS DOUBLE))) OVER (PARTITION BY vec_id) AS t FROM embeddings, range(1, 65) t(i))")
 def log_normalised(spark, d):
-    long = emb64(spark, d).select("id", F.posexplode(F.slice("vec", 1, 8)).alias("gene", "value")).withColumn("value", F.abs("value"))
+    long = emb64(spark, d).select("id", F.posexplode("vec").alias("gene", "value")).withColumn("value", F.abs("value"))
     return prep.log_normalise(long, "id").select("id", F.col("gene").cast("long").alias("gene"), F.round("value", 6).alias("value"))
 
 
