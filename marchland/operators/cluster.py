@@ -38,11 +38,11 @@ def connect_flags(points: DataFrame, edges: DataFrame, flagged: DataFrame, dims:
     """From internal and boundary points to the components of the internal ones."""
     cut = Cut(points.sparkSession)
     near = cut(connect.opposite(edges, flagged, points, dims), "near")
-    balls = cut(points.select("id", *dims).join(connect.reach(near), "id"), "balls")
+    balls = points.select("id", *dims).join(connect.reach(near), "id")
     overlaps = cut(connect.overlap_edges(balls, dims), "overlaps")
     if merge == "components":
         found = components(overlaps)
-        comp = balls.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        comp = connect.reach(near).select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     else:
         comp = connect.single_pass(balls, overlaps, order)
     return Stages(points, edges, flagged, near, balls, overlaps, cut(comp, "components"))
@@ -64,7 +64,7 @@ def run(df: DataFrame, k: int, ratio: float, uid: str = "id", dims: tuple[str, .
     if points.count() <= k:
         raise ValueError("there must be more than k distinct points")
     edges = cut(knn(points, k, dims=list(dims)), "knn")
-    flagged = cut(centrality.flags(cut(scores(edges, points, list(dims), ddof), "dcm"), ratio, rule), "flags")
+    flagged = centrality.flags(cut(scores(edges, points, list(dims), ddof), "dcm"), ratio, rule)
     return connect_flags(points, edges, flagged, list(dims), merge, order)
 
 

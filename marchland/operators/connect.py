@@ -25,11 +25,10 @@ def opposite(edges: DataFrame, flags: DataFrame, points: DataFrame, dims: list[s
     first = cut(listed.groupBy("id", "is_internal").agg(F.min(F.struct("d2", "nbr")).alias("m")).select("id", "is_internal", "m.nbr", "m.d2"), "listed")
     open_ = cut(points.select("id", *dims).join(flags.select("id", "is_internal"), "id").join(first.select("id"), "id", "left_anti"), "open")
     both = first
-    for internal in (True, False):
+    for internal in [r[0] for r in open_.select("is_internal").distinct().collect()]:
         rest = open_.where(F.col("is_internal") == internal)
-        if rest.limit(1).count():
-            base = points.join(flags.where(F.col("is_internal") != internal).select("id"), "id", "left_semi")
-            both = both.unionByName(nearest_in(rest, base, 1, dims=dims).select("id", F.lit(internal).alias("is_internal"), "nbr", "d2"))
+        base = points.join(flags.where(F.col("is_internal") != internal).select("id"), "id", "left_semi")
+        both = both.unionByName(nearest_in(rest, base, 1, dims=dims).select("id", F.lit(internal).alias("is_internal"), "nbr", "d2"))
     return both
 
 

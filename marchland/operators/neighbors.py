@@ -159,11 +159,12 @@ def knn_metric(df: DataFrame, k: int, metric: str, uid: str = "id", dims: list[s
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist", "nbr"))).where(F.col("rank") <= k).select("id", "rank", "nbr", "dist")
 
 
-def knn_grid(df: DataFrame, k: int, uid: str = "id", x: str = "x", y: str = "y", rings: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
-    """(id, rank, nbr, d2) of points in the plane by expanding rings of grid cells, all in built-in operators.
+def knn_grid(df: DataFrame, k: int, uid: str = "id", x: str = "x", y: str = "y", levels: int = 10) -> DataFrame:
+    """(id, rank, nbr, d2) of points in the plane by grid cells that fit the density, all in built-in operators.
 
-    A cell holds about k points. A point is settled once its k-th distance lies within the ring around its cell; what no ring
-    settles goes through the tree search. Same result as ``knn``.
+    Cells come in ``levels`` sizes, each half of the one before. A point looks into the nine cells around it at the finest level
+    where its own still holds k points or more, and is settled if its k-th distance lies within them; the others, and those in
+    cells too crowded at the finest level of all, go through the tree search. Same result as ``knn``.
     """
     cut = Cut(df.sparkSession)
     slim = df.select(F.col(uid).cast("long").alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
@@ -172,28 +173,31 @@ def knn_grid(df: DataFrame, k: int, uid: str = "id", x: str = "x", y: str = "y",
     if not box["n"]:
         return slim.select("id", F.lit(1).alias("rank"), F.col("id").alias("nbr"), F.lit(0.0).alias("d2"))
     area = (box["x1"] - box["x0"]) * (box["y1"] - box["y0"]) or max(box["x1"] - box["x0"], box["y1"] - box["y0"]) ** 2 or 1.0
-    h = max((area * k / box["n"]) ** 0.5, 1e-12)
-    cell = lambda c, lo: F.floor((F.col(c) - F.lit(lo)) / F.lit(h))
-    placed = slim.withColumns({"cx": cell("x", box["x0"]), "cy": cell("y", box["y0"])})
-    stock = placed.select(F.col("id").alias("nbr"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy")
-    open_, done = placed, None
-    best = Window.partitionBy("id").orderBy("d2", "nbr")
-    for ring in rings:
-        steps = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-ring, ring + 1) for j in range(-ring, ring + 1)]
-        probe = open_.withColumn("o", F.explode(F.array(*steps))).withColumns({"ox": F.col("cx"), "oy": F.col("cy"), "cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j")})
-        pairs = probe.join(stock, ["cx", "cy"]).where(F.col("id") != F.col("nbr"))
-        pairs = pairs.withColumn("d2", (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by")))
-        top = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        left, low = F.col("x") - (F.lit(box["x0"]) + (F.col("ox") - ring) * h), F.col("y") - (F.lit(box["y0"]) + (F.col("oy") - ring) * h)
-        side = (2 * ring + 1) * h
-        edge = F.least(left, F.lit(side) - left, low, F.lit(side) - low)
-        settled = top.withColumn("edge2", F.pow(edge * (1 - 1e-9), F.lit(2.0))).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("worst"), F.first("edge2").alias("edge2"))
-        ok = settled.where((F.col("n") == k) & (F.col("worst") < F.col("edge2"))).select("id")
-        got = cut(top.join(ok, "id", "left_semi").select("id", "rank", "nbr", "d2"), f"ring{ring}")
-        done = got if done is None else done.unionByName(got)
-        open_ = cut(open_.join(got.select("id").distinct(), "id", "left_anti"), f"open{ring}")
-    rest = nearest_in(open_, slim, k, dims=["x", "y"])
-    return done.unionByName(rest)
+    top = 8 * max((area * k / box["n"]) ** 0.5, 1e-9)
+    side = F.lit(top) / F.pow(F.lit(2.0), F.col("lv"))
+    cell = lambda c, lo: F.floor((F.col(c) - F.lit(lo)) / side)
+    placed = slim.withColumn("lv", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumns({"cx": cell("x", box["x0"]), "cy": cell("y", box["y0"])})
+    crowd = placed.groupBy("lv", "cx", "cy").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    # the finest level with k points in the cell, unless that is the last one and the cell is far fuller
+    mine = placed.join(crowd, ["lv", "cx", "cy"]).groupBy("id", "x", "y").agg(F.max(F.struct("lv", "n", "cx", "cy")).alias("m"))
+    asks = mine.select("id", "x", "y", "m.*").where((F.col("lv") < levels - 1) | (F.col("n") <= 8 * k))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    probe = asks.withColumn("o", F.explode(steps)).select("id", "x", "y", "lv", F.col("cx").alias("ox"), F.col("cy").alias("oy"), (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+    # of a cell's points only those at levels that are asked for are met; a far fuller cell beside a thin one leaves its asker open
+    full = placed.groupBy("lv", "cx", "cy").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 32 * k).select("lv", "cx", "cy", F.lit(True).alias("full"))
+    marked = probe.join(full, ["lv", "cx", "cy"], "left")
+    stuck = marked.where("full").select("id").distinct()
+    stock = placed.select(F.col("id").alias("nbr"), F.col("x").alias("bx"), F.col("y").alias("by"), "lv", "cx", "cy")
+    pairs = probe.join(stuck, "id", "left_anti").join(stock, ["lv", "cx", "cy"]).where(F.col("id") != F.col("nbr"))
+    pairs = pairs.withColumn("d2", (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by")))
+    # the k-th distance must lie within the nine cells
+    left, low = F.col("x") - (F.lit(box["x0"]) + (F.col("ox") - 1) * side), F.col("y") - (F.lit(box["y0"]) + (F.col("oy") - 1) * side)
+    edge = F.least(left, 3 * side - left, low, 3 * side - low)
+    near = pairs.where(F.sqrt("d2") < edge * (1 - 1e-9)).select("id", "nbr", "d2")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "nbr"))).where(F.col("rank") <= k)
+    done = cut(ranked.withColumn("found", F.max("rank").over(Window.partitionBy("id"))).where(F.col("found") == k).select("id", "rank", "nbr", "d2"), "settled")
+    open_ = slim.join(done.where("rank = 1").select("id"), "id", "left_anti")
+    return done.unionByName(nearest_in(open_, slim, k, dims=["x", "y"]))
 
 
 def nearest_in(queries: DataFrame, base: DataFrame, k: int = 1, uid: str = "id", dims: list[str] | str = ("x", "y"), leaf_rows: int = tree_knn.LEAF_ROWS) -> DataFrame:
