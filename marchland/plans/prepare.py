@@ -107,7 +107,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_filled(spark, d).select("src", "rec_id", "field")
 
 
+def p5_marks(spark: SparkSession, d: str) -> DataFrame:
+    """How many values of each field were filled, and how many of those have a value now."""
+    return p5_filled(spark, d).groupBy("src", "field").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("filled"), F.count("method").alias("marked"))
+
+
 QUERIES = {
+    "p5_marks": p5_marks,
     "p1_found": p1_found,
     "p1_reasons": p1_reasons,
     "p1_breast_cancer_rows": p1_breast_cancer_rows,
@@ -197,6 +203,7 @@ UNION ALL SELECT DISTINCT 'dermatology', rec_id, 'c33' FROM dermatology WHERE NO
 """
 
 ORACLE = {
+    "p5_marks": f"SELECT src, field, count(*) AS n, count(*) AS filled, count(*) AS marked FROM ({_P5}) GROUP BY ALL",
     "p5_found": _P5,
     "p1_found": f"{_BROKEN} SELECT line_id FROM b WHERE {_FAILED}",
     "p1_reasons": _REASONS,

@@ -51,9 +51,9 @@ def _hilbert_sql(bits: int) -> str:
     return "WITH " + ", ".join(out) + " SELECT id, d AS h FROM s0"
 
 
-@query(_hilbert_sql(5))
+@query(_hilbert_sql(15))
 def hilbert_codes(spark, d):
-    return partitioning.hilbert_code(cust2d(spark, d), 5).select("id", "h")
+    return partitioning.hilbert_code(cust2d(spark, d), 15).select("id", "h")
 
 
 @query(f"WITH p AS {CUST2D} SELECT id FROM p")
