@@ -115,7 +115,48 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_quality(spark, d).where("is_junk").select("doc_id")
 
 
+# what SQL can say about results it can't compute ------------------------------------------------------------------------
+
+
+def p4_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of each cluster together have all its records."""
+    return p4_clusters(spark, d).groupBy("src", "first_id").agg(F.sum("size").alias("size"), F.bool_and((F.size("typical") >= 1) & F.col("medoid_id").isNotNull()).alias("described"))
+
+
+def p6_reach(spark: SparkSession, d: str) -> DataFrame:
+    """How many records the subset's stand for: all of them, each once."""
+    return p6_subset(spark, d).groupBy("src").agg(F.sum("stands_for").alias("records"), F.sum(F.col("must").cast("long")).alias("musts"))
+
+
+def p7_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """The bytes of the tokens of each text: those of the text."""
+    ranks = tokens.read_ranks(tokens.VOCABULARY)
+    sizes = spark.createDataFrame([(i, len(t)) for t, i in ranks.items()], "i int, n int")
+    ids = p7_ids(spark, d)
+    each = ids.select("doc_id", F.explode("ids").alias("i")).join(F.broadcast(sizes), "i").groupBy("doc_id").agg(F.sum("n").alias("n_bytes"))
+    return ids.select("doc_id").join(each, "doc_id", "left").na.fill(0, ["n_bytes"])
+
+
+def p8_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Of each source: no text is used too often, and attainable shares are met to within the longest text."""
+    m = _mixture(spark, d)
+    longest = m.copies.groupBy("source").agg(F.max("tokens").alias("longest"))
+    off = F.abs(F.col("used_tokens") - F.col("target_tokens"))
+    return m.report.join(longest, "source", "left").select(
+        "source", (F.col("most_copies") <= F.col("max_repeats")).alias("within"), (~F.col("attainable") | (off <= F.coalesce("longest", F.lit(0)))).alias("met"), F.col("documents").cast("long").alias("documents")
+    )
+
+
+def p9_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return p9_quality(spark, d).select("doc_id", "n_chars", F.round(F.col("digit_share") * F.col("n_chars")).cast("long").alias("digits"))
+
+
 QUERIES = {
+    "p4_sizes": p4_sizes,
+    "p6_reach": p6_reach,
+    "p7_bytes": p7_bytes,
+    "p8_limits": p8_limits,
+    "p9_sizes": p9_sizes,
     "p9_found": p9_found,
     "p9_quality": p9_quality,
     "p8_found": p8_found,
@@ -156,7 +197,13 @@ WITH u AS {_DS6}, v AS {_SKIN}
 SELECT 'ds6' AS src, id AS rec_id FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.g = a.g AND b.id <> a.id AND {_DS6_D2} <= 1.010025)
 UNION ALL SELECT 'dermatology', id FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.g = a.g AND b.id <> a.id AND {_SKIN_D2} <= 60)
 """
+_USABLE = f"(SELECT 'ds6' AS src, count(*) AS records FROM {_DS6} UNION ALL SELECT 'dermatology', count(*) FROM {_SKIN})"
 ORACLE = {
+    "p4_sizes": f"SELECT src, first_id, CAST(count(*) + 1 AS BIGINT) AS size, true AS described FROM ({_P4}) GROUP BY ALL",
+    "p6_reach": f"SELECT src, records, CAST((SELECT count(*) FROM ({_P6}) m WHERE m.src = u.src) AS BIGINT) AS musts FROM {_USABLE} u",
+    "p8_limits": "SELECT source, true AS within, true AS met, (SELECT count(*) FROM documents d WHERE d.source = m.source) AS documents FROM mix_targets m",
+    "p7_bytes": "SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n_bytes FROM documents",
+    "p9_sizes": "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(CASE WHEN trim(regexp_replace(text, '[\\s\\p{Z}\\x0B\\x85]', '', 'g')) = '' THEN 0 ELSE length(regexp_replace(text, '[^\\p{N}]', '', 'g')) END AS BIGINT) AS digits FROM documents",
     "p6_found": _P6,
     "p4_found": _P4,
     "p3_found": f"WITH {_P3} SELECT DISTINCT src, least(id, nb) AS a_id, greatest(id, nb) AS b_id FROM n",
