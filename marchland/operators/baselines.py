@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marchland.operators.components import components
-from marchland.operators.neighbors import nearest_in, radius_pairs
+from marchland.operators.dense import cell_rest, point_degrees
+from marchland.operators.neighbors import nearest_in
 from marchland.operators.prep import dense_numbers
 from marchland.session import Cut
 
@@ -33,20 +34,25 @@ def k_means_sweep(df: DataFrame, ks: list[int], vec: str, uid: str = "id", seed:
 def dbscan(df: DataFrame, radius: float, least: int, uid: str = "id", x: str = "x", y: str = "y") -> DataFrame:
     """(id, cluster, is_core): density clusters numbered from 1 by their lowest core id; noise has 0.
 
-    A core point has ``least`` points within the radius, itself included. A border point joins its nearest core point.
+    A core point has ``least`` points within the radius, itself included. A border point joins its nearest core point, by
+    (distance, id). Points are counted and linked by cells, so pairs are never listed; a place of many points is one node. Rows
+    with a null or NaN coordinate are noise.
     """
     cut = Cut(df.sparkSession)
-    points = cut(df.select(F.col(uid).cast("long").alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "points")
-    pairs = cut(radius_pairs(points, points, radius), "pairs")
-    core = cut(pairs.groupBy("id").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") >= least).select("id") if least > 1 else points.select("id"), "core")
-    links = pairs.join(core, "id", "left_semi").join(core.select(F.col("id").alias("nbr")), "nbr", "left_semi").where(F.col("id") < F.col("nbr"))
-    found = components(links, "id", "nbr")
-    comp = core.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    numbered = comp.join(dense_numbers(comp.select("component").distinct(), "component", "cluster"), "component").select("id", "cluster")
-    border = pairs.join(numbered.withColumnRenamed("id", "nbr"), "nbr").join(core, "id", "left_anti")
-    border = border.groupBy("id").agg(F.min_by("cluster", F.struct("d2", "nbr")).alias("cluster"))
-    whole = numbered.withColumn("is_core", F.lit(True)).unionByName(border.withColumn("is_core", F.lit(False)))
-    return points.select("id").join(whole, "id", "left").select("id", F.coalesce("cluster", F.lit(0)).alias("cluster"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
+    points = cut(df.select(F.col(uid).cast("long").alias("id"), (F.col(x).cast("double") + 0.0).alias("x"), (F.col(y).cast("double") + 0.0).alias("y")), "points")
+    usable = points.where(F.col("id").isNotNull() & ~F.isnan(F.coalesce("x", F.lit(float("nan")))) & ~F.isnan(F.coalesce("y", F.lit(float("nan")))))
+    places = usable.groupBy("x", "y").agg(F.min("id").alias("_u"), F.count(F.lit(1)).alias("n"))
+    places = cut(places.select(F.lit(0).cast("long").alias("_g"), F.array("x", "y").alias("_v"), "x", "y", "_u", "n"), "places")
+    degrees = point_degrees(places, radius, None)
+    marked = cut(places.join(degrees, "_u").withColumn("is_core", F.col("links") + F.col("n") >= least), "marked")
+    core = marked.where("is_core").withColumn("_c", F.col("_u"))
+    found = components(cell_rest(core, radius, digits=None), "v", "u").select(F.col("id").alias("_u"), "component")
+    comp = cut(core.select("_u").join(found, "_u", "left").select("_u", F.coalesce("component", "_u").alias("component")), "components")
+    numbered = comp.join(dense_numbers(comp.select("component").distinct(), "component", "cluster"), "component").select("_u", "cluster")
+    near = nearest_in(marked.where("not is_core").select(F.col("_u").alias("id"), "x", "y"), core.select(F.col("_u").alias("id"), "x", "y"), 1).where(F.col("d2") <= radius * radius)
+    border = near.join(numbered.withColumnRenamed("_u", "nbr"), "nbr").select(F.col("id").alias("_u"), "cluster")
+    whole = marked.join(numbered.unionByName(border), "_u", "left").select("x", "y", F.coalesce("cluster", F.lit(0)).alias("cluster"), "is_core")
+    return points.join(whole, ["x", "y"], "left").select("id", F.coalesce("cluster", F.lit(0)).alias("cluster"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
 
 
 def assign_by_vote(new: DataFrame, labelled: DataFrame, label: str, k: int = 5, uid: str = "id", dims: list[str] | str = ("x", "y")) -> DataFrame:

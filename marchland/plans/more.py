@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marchland.functions import geometry
-from marchland.operators import centrality, cluster, evaluate, graph, neighbors, partitioning, prep
+from marchland.operators import centrality, cluster, communities, evaluate, graph, neighbors, partitioning, prep
 from marchland.plans.load import table
 from marchland.plans.points import CUST2D, EMB2D, PART2D, cust2d, emb2d, emb3d, emb64, part2d
 from marchland.plans.reference import _CONT, _RINGS, _labels, _rings
@@ -234,3 +234,12 @@ def cluster_embedded(spark, d):
     """Vectors of 64 components clustered by their first two principal ones: each has one cluster."""
     got = cluster.cluster_embedded(emb64(spark, d), K, 0.7, "vec")
     return got.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
+
+
+@query(f"SELECT count(*) AS n, true AS modular FROM {EMB2D}")
+def graph_communities(spark, d):
+    """Communities of the shared-neighbour graph: every point has one, and the modularity is above 0.5."""
+    edges = neighbors.shared_neighbours(neighbors.knn(emb2d(spark, d), K), K).select("src", "dst", "weight")
+    found = communities.communities(edges)
+    q = communities.modularity(edges, found)
+    return found.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(q)).select("n", (F.col("modularity") > 0.5).alias("modular"))
