@@ -129,7 +129,7 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str, source: str, tokens: s
     texts = texts.withColumns({"t": F.col("tokens").cast("double"), **{c: F.coalesce(F.col(c) - F.lit(float(m)), F.lit(0.0)) for c, m in zip(named, means)}})
     texts = cut(texts.join(wanted.select("source"), "source", "left_semi"), "texts")
     goal, cap = F.col("target_share") * F.lit(total), F.greatest(F.col("max_repeats"), F.lit(0)).cast("double")
-    own = texts.groupBy("source").agg(F.sum("t").alias("own"))
+    own = texts.groupBy("source").agg(F.sum("t").alias("own"), F.max("tokens").alias("longest"))
     state = wanted.join(own, "source").select("source", cap.alias("cap"), goal.alias("goal"), ((goal > 0) & (goal < cap * F.col("own"))).alias("open"), F.when((goal > 0) & (F.col("own") > 0), F.log(goal / F.col("own"))).otherwise(F.lit(0.0)).alias("lam"))
     state = cut(state.withColumn("cap", F.when(F.col("goal") > 0, F.col("cap")).otherwise(F.lit(0.0))), "state")
     solved, mu = _solve(texts, state, named, np.zeros(len(named)), max(1.0, total), cut)
@@ -152,8 +152,8 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str, source: str, tokens: s
     used = copies.groupBy("source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("used_tokens"), F.max("copies").alias("most_copies"), F.min("rate").alias("least_rate"), F.max("rate").alias("most_rate"))
     sizes = slim.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
     all_used = copies.agg(F.sum(F.col("copies") * F.col("tokens"))).first()[0] or 0
-    report = wanted.join(sizes, "source", "left").join(own.select("source", F.col("own").cast("long").alias("own_tokens")), "source", "left").join(used, "source", "left")
-    report = report.na.fill(0, ["tokens", "documents", "own_tokens", "used_tokens", "most_copies"]).withColumns({
+    report = wanted.join(sizes, "source", "left").join(own.select("source", F.col("own").cast("long").alias("own_tokens"), "longest"), "source", "left").join(used, "source", "left")
+    report = report.na.fill(0, ["tokens", "documents", "own_tokens", "longest", "used_tokens", "most_copies"]).withColumns({
         "target_tokens": goal,
         "reachable": ~(F.col("max_repeats") * F.col("tokens") < goal),
         "attainable": ~(F.col("max_repeats") * F.col("own_tokens") < goal),

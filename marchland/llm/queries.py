@@ -140,10 +140,9 @@ def p7_bytes(spark: SparkSession, d: str) -> DataFrame:
 def p8_limits(spark: SparkSession, d: str) -> DataFrame:
     """Of each source: no text is used too often, and attainable shares are met to within the longest text."""
     m = _mixture(spark, d)
-    longest = m.copies.groupBy("source").agg(F.max("tokens").alias("longest"))
     off = F.abs(F.col("used_tokens") - F.col("target_tokens"))
-    return m.report.join(longest, "source", "left").select(
-        "source", (F.col("most_copies") <= F.col("max_repeats")).alias("within"), (~F.col("attainable") | (off <= F.coalesce("longest", F.lit(0)))).alias("met"), F.col("documents").cast("long").alias("documents")
+    return m.report.select(
+        "source", (F.col("most_copies") <= F.col("max_repeats")).alias("within"), (~F.col("attainable") | (off <= F.col("longest"))).alias("met"), F.col("documents").cast("long").alias("documents")
     )
 
 
@@ -152,11 +151,6 @@ def p9_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p4_sizes": p4_sizes,
-    "p6_reach": p6_reach,
-    "p7_bytes": p7_bytes,
-    "p8_limits": p8_limits,
-    "p9_sizes": p9_sizes,
     "p9_found": p9_found,
     "p9_quality": p9_quality,
     "p8_found": p8_found,
@@ -171,6 +165,11 @@ QUERIES = {
     "p4_shares": p4_shares,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
+    "p4_sizes": p4_sizes,
+    "p6_reach": p6_reach,
+    "p7_bytes": p7_bytes,
+    "p8_limits": p8_limits,
+    "p9_sizes": p9_sizes,
 }
 
 _DS6 = "(SELECT DISTINCT point_id AS id, set_no AS g, c0, c1 FROM ds6 WHERE c0 IS NOT NULL AND NOT isnan(c0) AND c1 IS NOT NULL AND NOT isnan(c1))"

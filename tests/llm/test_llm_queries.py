@@ -22,7 +22,7 @@ def test_query_equals_sql(spark, name):
     cur = con.execute(queries.ORACLE[name])
     at = [d[0] for d in cur.description]
     assert sorted(at) == cols
-    assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(tuple(r[at.index(c)] for c in cols) for r in cur.fetchall())
+    assert sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr) == sorted((tuple(r[at.index(c)] for c in cols) for r in cur.fetchall()), key=repr)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")

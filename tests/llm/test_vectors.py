@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marchland.llm import groups, similar, varied
 from marchland.llm.index import Projected, chi2_quantile, principal, projection, space_for
+from marchland.operators import dense
 from marchland.operators.components import components
 from marchland.operators.tree_knn import Space, Tree
 
@@ -223,7 +224,7 @@ def test_points_and_hot_buckets(spark):
     a, b = ({tuple(r) for r in components(groups.point_links(nodes, 0.255, hot), "v", "u").collect()} for hot in (9, 10**6))
     assert a == b and a
     alone = nodes.withColumn("_c", F.col("_u"))
-    a, b = ({tuple(r) for r in components(groups.grid_rest(alone, 0.255, hot), "v", "u").collect()} for hot in (9, 10**6))
+    a, b = ({tuple(r) for r in components(groups.cell_rest(alone, 0.255, hot), "v", "u").collect()} for hot in (9, 10**6))
     assert a == b and a
 
 
@@ -233,7 +234,7 @@ def test_disc_counts():
     y = np.concatenate([rng.normal(0, 0.2, 900), rng.random(500) * 5 - 9, np.full(20, 1.0)])
     bucket, n = rng.integers(0, 2, len(x)), rng.integers(1, 4, len(x))
     near = (np.round((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2, 6) <= 0.065025) & (bucket[:, None] == bucket)
-    assert (groups.disc_counts(bucket, x, y, n, 0.255, 0.065025) == near @ n).all()
+    assert (dense.disc_counts(bucket, x, y, n, 0.255, 0.065025) == near @ n).all()
 
 
 def test_point_degrees_are_links(spark):
