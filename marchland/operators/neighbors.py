@@ -117,8 +117,8 @@ def knn_metric(df: DataFrame, k: int, metric: str, uid: str = "id", dims: list[s
     """(id, rank, nbr, dist): the k nearest by a named metric, by (dist, id).
 
     cosine, correlation, spearman and seuclidean become Euclidean on prepared vectors, so the tree search prunes them;
-    vectors without direction take no part. The others have no bound here: blocks of rows meet block by block, each task
-    keeping the k best of its block for each row. Rows repeated under one id count once.
+    vectors without direction take no part. For the others blocks of rows meet block by block, each task keeping the k best of
+    its block for each row: the work is quadratic, so use them for small tables. Rows repeated under one id count once.
     """
     dims = dims if isinstance(dims, str) else list(dims)
     cut = Cut(df.sparkSession)

@@ -3,6 +3,7 @@ can't compute."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marchland.functions import geometry
@@ -10,6 +11,8 @@ from marchland.operators import centrality, cluster, communities, evaluate, grap
 from marchland.plans.load import table
 from marchland.plans.points import CUST2D, EMB2D, PART2D, cust2d, emb2d, emb3d, emb64, part2d
 from marchland.plans.reference import _CONT, _RINGS, _labels, _rings
+from marchland.session import new_path
+from marchland.sources import points as files
 
 K = 10
 QUERIES: dict = {}
@@ -55,6 +58,27 @@ def variable_genes(spark, d):
     return prep.variable_genes(long, 20).select("gene", F.round("dispersion", 9).alias("dispersion"), "rank")
 
 
+@query("""WITH v AS (SELECT vec_id AS id, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(i))
+  SELECT id, round(sum((v - lo) / (hi - lo)), 7) AS total FROM v JOIN (SELECT i, min(v) AS lo, max(v) AS hi FROM v GROUP BY i) USING (i) GROUP BY id""")
+def minmax_vectors(spark, d):
+    """The sum of each vector's components, every component scaled to 0 .. 1."""
+    v = prep.min_max_array(emb64(spark, d), "vec")
+    return v.select("id", F.round(F.aggregate("vec", F.lit(0.0), lambda s, e: s + e), 7).alias("total"))
+
+
+@query(f"SELECT id, CAST(2 AS INTEGER) AS kept, x, y FROM {EMB2D}")
+def drop_constant_components(spark, d):
+    v = emb2d(spark, d).select("id", F.array(F.lit(1.0), "x", F.lit(0.0), "y").alias("vec"))
+    return prep.drop_constant_components(v, "vec").select("id", F.size("vec").alias("kept"), F.get("vec", 0).alias("x"), F.get("vec", 1).alias("y"))
+
+
+@query("""WITH v AS (SELECT vec_id AS id, i - 1 AS gene, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(i))
+  SELECT id, gene, round(least(2.5, (v - avg(v) OVER (PARTITION BY gene)) / stddev_samp(v) OVER (PARTITION BY gene)), 7) AS value FROM v""")
+def standardised(spark, d):
+    long = emb64(spark, d).select("id", F.posexplode("vec").alias("gene", "value")).withColumn("gene", F.col("gene").cast("long"))
+    return prep.standardise(long, most=2.5).select("id", "gene", F.round("value", 7).alias("value"))
+
+
 # geometry -------------------------------------------------------------------------------------------------------------
 
 
@@ -166,6 +190,47 @@ def local_connectivity(spark, d):
     return graph.reset_local_connectivity(_two_graphs(spark, d)[0]).withColumn("w", F.round("w", 9))
 
 
+@query(f"""WITH a AS {_GA} SELECT src, dst, round(CAST(w * CASE WHEN la.label IS NULL OR lb.label IS NULL THEN exp(-1.0) WHEN la.label <> lb.label THEN exp(-5.0) ELSE 1.0 END AS DOUBLE), 9) AS w
+  FROM a JOIN {EMB2D} la ON la.id = src JOIN {EMB2D} lb ON lb.id = dst""")
+def graph_by_category(spark, d):
+    return graph.by_category(_two_graphs(spark, d)[0], emb2d(spark, d).select("id", "label")).withColumn("w", F.round("w", 9))
+
+
+@query(f"WITH a AS {_GA} SELECT src, dst, round(CASE WHEN 200 * w / (max(w) OVER ()) >= 1 THEN (max(w) OVER ()) / CAST(w AS DOUBLE) END, 9) AS every FROM a")
+def epochs_per_sample(spark, d):
+    return graph.epochs_per_sample(_two_graphs(spark, d)[0], 200).select("src", "dst", F.round("every", 9).alias("every"))
+
+
+@query(f"SELECT count(*) AS n, true AS apart FROM {CUST2D}")
+def hilbert_ordered(spark, d):
+    """Rows placed along the curve: no two partitions overlap."""
+    p = partitioning.hilbert_ordered(cust2d(spark, d), 6).withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count(F.lit(1)).alias("n"))
+    a, b = p.alias("a"), p.alias("b")
+    clash = a.join(b, (F.col("a.part") < F.col("b.part")) & (F.col("a.hi") >= F.col("b.lo"))).agg(F.count(F.lit(1)).alias("c"))
+    return p.agg(F.sum("n").alias("n")).crossJoin(F.broadcast(clash)).select("n", (F.col("c") == 0).alias("apart"))
+
+
+@query(f"SELECT id, label FROM {EMB2D}")
+def clusters_file_roundtrip(spark, d):
+    at = new_path(spark, "written")
+    files.write_clusters(emb2d(spark, d).select("id", "label"), at)
+    return spark.read.csv(at, sep="\t", header=True, schema="id long, label int").select("id", "label")
+
+
+@query(f"SELECT id, x + y AS total FROM {EMB2D}")
+def mapped_file_roundtrip(spark, d):
+    """Lines through a mapper that adds up two numbers."""
+    at = new_path(spark, "lines")
+    emb2d(spark, d).select(F.concat_ws(";", F.col("id").cast("string"), F.col("x").cast("string"), F.col("y").cast("string"))).write.text(at)
+
+    def mapper(batches):
+        for b in batches:
+            parts = [line.split(";") for line in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(p[0]) for p in parts], pa.int64()), pa.array([float(p[1]) + float(p[2]) for p in parts], pa.float64())], ["id", "total"])
+
+    return files.read_mapped(spark, at, mapper, "id long, total double")
+
+
 # approximate searches, and invariants of what SQL can't compute ---------------------------------------------------------
 
 
