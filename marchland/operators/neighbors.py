@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marchland.operators import tree_knn
-from marchland.session import Cut, tasks_for
+from marchland.session import Cut, parallelism, tasks_for
 
 
 def vector(df: DataFrame, dims: list[str] | str) -> Column:
@@ -208,17 +208,44 @@ def nearest_in(queries: DataFrame, base: DataFrame, k: int = 1, uid: str = "id",
     return _edges(lists, k)
 
 
+#: Lists that the ids of one place are dealt out to, by hash.
+PLACE_LISTS = 64
+#: Rows of one cell that one task asks for.
+CELL_ASKS = 16_384
+
+
+def _places(df: DataFrame, uid: str, x: str, y: str) -> DataFrame:
+    """(x, y, ids, salt): the ids of each place, in lists short enough even for a hot one. Rows without id or place have no pairs."""
+    rows = df.select(F.col(uid).alias("u"), F.col(x).alias("x"), F.col(y).alias("y")).where(F.col("u").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
+    return rows.groupBy("x", "y", F.pmod(F.xxhash64("u"), F.lit(PLACE_LISTS)).alias("salt")).agg(F.collect_list("u").alias("ids"))
+
+
 def radius_pairs(queries: DataFrame, base: DataFrame, radius: float, uid: str = "id", x: str = "x", y: str = "y", strict: bool = False) -> DataFrame:
-    """(id, nbr, d2) within the radius (``strict``: nearer than it), by an equi-join on cells of the radius' size."""
+    """(id, nbr, d2) within the radius (``strict``: nearer than it), by an equi-join on cells of the radius' size.
+
+    Places are compared, not rows: lists of ids meet and are written out as pairs where their places are near. The askers of
+    a crowded cell are shared out over parts, each of which gets the cell's rows. Both sides are shuffled whatever the
+    planner takes their size for: as a broadcast, the rows of one side would have to fit the driver.
+    """
     side = radius if radius > 0 else 1.0
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    q = queries.select(F.col(uid).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"), F.explode(steps).alias("o"))
-    q = q.select("id", "x", "y", (F.floor(F.col("x") / side) + F.col("o.i")).alias("cx"), (F.floor(F.col("y") / side) + F.col("o.j")).alias("cy"))
-    b = base.select(F.col(uid).alias("nbr"), F.col(x).alias("bx"), F.col(y).alias("by"), F.floor(F.col(x) / side).alias("cx"), F.floor(F.col(y) / side).alias("cy"))
+    q = _places(queries, uid, x, y).withColumn("o", F.explode(steps))
+    q = q.select("x", "y", "ids", "salt", (F.floor(F.col("x") / side) + F.col("o.i")).alias("cx"), (F.floor(F.col("y") / side) + F.col("o.j")).alias("cy"))
+    b = _places(base, uid, x, y).select(F.col("x").alias("bx"), F.col("y").alias("by"), F.col("ids").alias("nbrs"), F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
+    # at most 9 rows / CELL_ASKS cells
+    crowded = q.groupBy("cx", "cy").agg(F.sum(F.size("ids")).alias("n")).where(F.col("n") > CELL_ASKS)
+    crowded = F.broadcast(crowded.select("cx", "cy", F.least(F.lit(PLACE_LISTS), F.ceil(F.col("n") / CELL_ASKS)).alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    q = q.join(crowded, ["cx", "cy"], "left").withColumn("part", F.pmod(F.col("salt"), parts))
+    b = b.join(crowded, ["cx", "cy"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    # a fixed number of tasks: by the bytes that they read, a few would write all pairs
+    tasks, at = parallelism(queries.sparkSession), ["cx", "cy", "part"]
+    q, b = q.select(*at, "x", "y", "ids").repartition(tasks, *at), b.select(*at, "bx", "by", "nbrs").repartition(tasks, *at)
     d2 = (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by"))
-    pairs = q.join(b, ["cx", "cy"]).where(F.col("id") != F.col("nbr")).select("id", "nbr", d2.alias("d2"))
     limit = F.lit(float(radius)) * F.lit(float(radius))
-    return pairs.where(F.col("d2") < limit if strict else F.col("d2") <= limit)
+    near = q.join(b.hint("merge"), at).select("ids", "nbrs", d2.alias("d2")).where(F.col("d2") < limit if strict else F.col("d2") <= limit)
+    pairs = near.select(F.explode("ids").alias("id"), "nbrs", "d2").select("id", F.explode("nbrs").alias("nbr"), "d2")
+    return pairs.where(F.col("id") != F.col("nbr"))
 
 
 def radius_count(points: DataFrame, radius: float, uid: str = "id", x: str = "x", y: str = "y") -> DataFrame:
